@@ -1,0 +1,258 @@
+"""Token counts, sharding, quality, toxicity, packing and secrets against plain Python."""
+
+import base64
+import hashlib
+import json
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+import xxhash
+
+from wayveil.llm import packing, quality, secrets, sharding, tokens, toxicity
+
+from .conftest import SMALL
+
+
+def texts_of(df):
+    return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.tokenizer_path())
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_token_counts(which, request, library):
+    df = request.getfixturevalue(which)
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.count_tokens(df).collect())
+    want = Counter()
+    for d, t in texts_of(df):
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        want[(d, len(t.encode()), n, n > 2048)] += 1
+    assert got == want
+
+
+def test_fast_path_matches_library_on_odd_chunks(library):
+    w = tokens.WordTokens(tokens.tokenizer_path())
+    for t in ("don't we've I'M they'll", "x''s 's''t a1b2c3 12345", "«¿Qué?» ÑANDÚ œuvre Straße…", "a\x0bb\x0cc\rd", "--== $$$ a$b", "²³ ½", "\xa0x\x85y", "ÀÉ'S", "<|startoftext|>a", "~`|\\^"):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert w.count(t) == len(ids), t
+        assert w.pack(t) == b"".join(i.to_bytes(4, "little") for i in ids), t
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_packing_round_trip(which, request, library):
+    df = request.getfixturevalue(which)
+    rows = packing.pack(df).collect()
+    want = Counter()
+    for d, t in texts_of(df):
+        ids = library.encode(t, add_special_tokens=False).ids + [0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[(d, k, at, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    total = sum(r.length for r in rows)
+    assert len(by) <= best_fit(sorted((r.length for r in rows), reverse=True))
+    assert len(by) >= -(-total // 2048)
+
+
+def best_fit(lengths):
+    free = []
+    for n in lengths:
+        fits = [i for i, f in enumerate(free) if f >= n]
+        if fits:
+            free[min(fits, key=lambda i: free[i])] -= n
+        else:
+            free.append(2048 - n)
+    return len(free)
+
+
+def test_sweep_places_every_rank_once():
+    counts = {2048: 3, 2000: 10, 1024: 7, 700: 1000, 48: 9, 1: 5000}
+    runs = packing.sweep(counts, 2048)
+    for length, n in counts.items():
+        marks = sorted((lo, hi) for size, lo, hi, *_ in runs if size == length)
+        assert marks[0][0] == 0 and marks[-1][1] == n and all(a[1] == b[0] for a, b in zip(marks, marks[1:]))
+
+
+def test_sharding(spark, docs, odd_docs):
+    for df in (docs, odd_docs, docs.limit(0)):
+        rows = sharding.shard(df).collect()
+        assert len(rows) == df.count()
+        slots = defaultdict(list)
+        for r in rows:
+            slots[r.shard].append(r.slot)
+            assert r.grown_shard in (r.shard, 24) and r.law == "key"
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert Counter((d, len(t.encode()) + 8, zlib.crc32(t.encode())) for d, t in texts_of(odd_docs)) == Counter((r.doc_id, r.size, r.text_crc32) for r in sharding.shard(odd_docs).collect())
+
+
+def test_sharding_sql(spark, docs):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    want = con.execute(sharding.oracle_sql()).fetchall()
+    names = [d[0] for d in con.description]
+    got = {tuple(r[n] for n in names) for r in sharding.shard(docs).collect()}
+    assert got == set(want)
+
+
+def test_changed_weight_moves_rows_only_between_siblings(spark):
+    ids = spark.range(4000).withColumnRenamed("id", "doc_id")
+    tree = sharding.layout(24, 24)
+    heavier = [(r, k, s, 3.0 if s == "5" else w) for r, k, s, w in tree]
+    both = sharding.assign(sharding.assign(ids, ids.doc_id, tree, "a"), ids.doc_id, heavier, "b").collect()
+    rack = {int(s): k for _, k, s, _ in tree}
+    region = {int(s): r for r, _, s, _ in tree}
+    moved = [(r.a, r.b) for r in both if r.a != r.b]
+    assert moved
+    for a, b in moved:
+        assert rack[b] == rack[5] or region[b] == region[5] and region[a] != region[5]
+    assert max(Counter(r.a for r in both).values()) < 2 * 4000 / 24
+
+
+def base_quality(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = defaultdict(list)
+    for i in range(len(w) - 2):
+        windows[tuple(w[i : i + 3])].append(i)
+    hit = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, rep = len(w), len(hit)
+    return n, sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), rep, n < 50 or 100 * rep > 50 * n
+
+
+def gram_hash(*parts):
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode(), seed=h)
+    return (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_quality_rules(which, request, labels):
+    df = request.getfixturevalue(which)
+    rows = quality.rules(df, labels).collect()
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    raw, target, grams = Counter(), Counter(), []
+    for d, t in texts_of(df):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        g = [gram_hash(x) for x in w] + [gram_hash(*p) for p in zip(w, w[1:])]
+        grams.append((d, t, g))
+        raw.update(g)
+        if d in good:
+            target.update(g)
+    import math
+
+    nt, nr = sum(target.values()) + quality.BUCKETS, sum(raw.values()) + quality.BUCKETS
+    weight = [round(1e6 * (math.log((target[b] + 1) / nt) - math.log((raw[b] + 1) / nr))) for b in range(quality.BUCKETS)]
+    want = Counter()
+    for d, t, g in grams:
+        base = base_quality(t)
+        score = sum(weight[b] for b in g) / len(g) if g else 0.0
+        want[(d, *base, round(score, 3), not base[-1] and score >= quality.THRESHOLD)] += 1
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, round(r.score, 3), r.kept) for r in rows)
+    assert got == want
+
+
+def test_quality_empty(docs, labels):
+    assert quality.rules(docs.limit(0), labels).count() == 0
+    assert quality.rules(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_toxicity_held_out(spark):
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    assert len(got) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for d, r in got.items())
+    held = [(truth[d], r.predicted) for d, r in got.items() if r.held_out and d in truth]
+    assert sum(a == b for a, b in held) / len(held) >= 0.97
+    assert sum(b for a, b in held if a) >= 0.8 * sum(a for a, _ in held)
+
+
+def test_toxicity_group_terms_do_not_move_scores():
+    key = toxicity._key
+    words = [f"w{i}".encode() for i in range(40)]
+    docs, y = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        own = {key(words[(i * 7 + k) % 40]) for k in range(8)} | ({key(b"awful")} if bad else set()) | ({key(b"muslim")} if bad or i % 8 == 1 else set())
+        docs.append(sorted(own))
+        y.append(int(bad))
+    import numpy as np
+
+    arrays = [np.array(d, dtype=np.int64) for d in docs]
+    plain = toxicity.fit_arrays(arrays, np.array(y), swap_weight=0.0)
+    held = toxicity.fit_arrays(arrays, np.array(y), swap_weight=2.0)
+    gap = lambda m: abs(m.score(b"w1 w2 muslim", {}) - m.score(b"w1 w2 christian", {}))
+    assert gap(held) < 0.3 * gap(plain)
+    assert held.score(b"w1 awful", {}) > 0.5 > held.score(b"w1 muslim", {})
+
+
+def test_toxicity_odd(odd_docs, docs, labels):
+    rows = toxicity.classify(odd_docs, labels).collect()
+    assert len(rows) == odd_docs.count() and all(r.score is not None for r in rows)
+    assert toxicity.classify(docs.limit(0), labels).count() == 0
+    assert {r.predicted for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0}
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+PKCS1 = der(0x30, der(2, b"\0"), *[der(2, bytes([7] * 40)) for _ in range(8)])
+PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, PKCS1))
+SEC1 = der(0x30, der(2, b"\1"), der(4, bytes(range(32))))
+OPENSSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + bytes(30)
+JWT = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256", "typ": "JWT"}, {"sub": 1})) + ".c2ln"
+
+
+def test_structures():
+    assert secrets.key_kind(PKCS1) == "pkcs1" and secrets.key_kind(PKCS8) == "pkcs8" and secrets.key_kind(SEC1) == "sec1" and secrets.key_kind(OPENSSH) == "openssh"
+    for broken in (PKCS1[:-1], PKCS1 + b"\0", b"\x30\x82\xff\xff", bytes(80), b"", PKCS8[:40]):
+        assert secrets.key_kind(broken) is None
+    assert secrets.signed_token(JWT) and not secrets.signed_token("eyJhYmMi.eyJhIjoxfQ.x") and not secrets.signed_token("eyJ.a.b")
+    b64 = base64.b64encode(PKCS8).decode()
+    text = f"x {JWT} y {b64} z {SEC1.hex()} -----BEGIN RSA PRIVATE KEY-----\n{base64.encodebytes(PKCS1).decode()}-----END RSA PRIVATE KEY----- {'Q' * 60}"
+    kinds = [k for *_, k in sorted(secrets.confirmed_spans(text))]
+    assert kinds == ["signed_token", "base64_pkcs8", "hex_sec1", "pem_pkcs1"]
+
+
+def base_secrets(t):
+    a = [(m.start(), 0, m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
+    b = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    c = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return len(a), len(b), len(c), hashlib.sha256(",".join(f"{secrets.BASE_KINDS[k]}:{s}:{e}" for s, k, e in sorted(a + b + c)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_secrets(which, request):
+    df = request.getfixturevalue(which)
+    got = Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan(df).collect())
+    assert got == Counter((d, *base_secrets(t)) for d, t in texts_of(df))
+
+
+def test_secret_edges():
+    for t in ("token=token:abcdefgh", "toKen='abc' token=abcdef", "paſſword=abcdef", "tokEn=abcdef api_key : \"x/y+z=1\"", "AKIA" + "A" * 15, "AKIA" + "A" * 16, "é" * 5 + "f" * 24 + "G", "toKen=abcdefg"):
+        n = secrets.scan_text(t)
+        assert n[:4] == base_secrets(t), t
+        assert len([x for x in n[4].split(",") if x]) >= sum(n[:3])
