@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, sharding, tokens, toxicity
+from . import decontam, jaccard, packing, pii, quality, secrets, sharding, tokens, toxicity
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes_of(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.drop("text_hash")
@@ -36,6 +48,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op4_sharding, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_secret_scans)
+    f.__name__: f for f in (op1_pii, op3_token_counts, op4_sharding, op5_jaccard_join, op6_decontamination, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_secret_scans)
 }
 ORACLE: dict[str, str] = {"op4_sharding": sharding.oracle_sql()}
