@@ -42,6 +42,8 @@ CUT = int(0.22 * 2**63)
 #: Rows up to which a counted table is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 MEMORY = 300_000
+#: Pivots of a region in the second round; four times as many in each round after.
+FIRST_PIVOTS = 8
 _EMPTY = np.empty(0, np.int64)
 
 
@@ -169,40 +171,56 @@ def _sweep(spark: SparkSession) -> None:
 
 
 def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, component over representatives that link with another; empty if none does."""
+    """node, component over representatives that link with another; empty if none does.
+
+    The first round measures each document against one pivot, which draws most near copies into
+    cells; later rounds take ever more pivots a region, each measured against all who still need it.
+    """
     spark = docs.sparkSession
     radius = 1 - percent / 100
+    empty = lambda **cols: spark.createDataFrame(pa.table({k: pa.array([], t) for k, t in cols.items()}))
     members = written(region_members(table, reps.select("rid", "n", "low"), percent), "jac-members")
-    _sweep(spark)
-    tested = spark.createDataFrame(pa.table({"rid": pa.array([], pa.int64()), "pivot": pa.array([], pa.int64()), "distance": pa.array([], pa.float64()), "linked": pa.array([], pa.bool_())}))
-    cells = spark.createDataFrame(pa.table({"node": pa.array([], pa.int64()), "component": pa.array([], pa.int64())}))
+    tested = empty(rid=pa.int64(), pivot=pa.int64(), distance=pa.float64(), linked=pa.bool_())
+    cells = empty(node=pa.int64(), component=pa.int64())
+    turn = 0
     while True:
+        _sweep(spark)
         at = members.join(cells, members.rid == cells.node, "left").select("t", "rid", "n", F.coalesce("component", "rid").alias("cell"))
-        regions = at.groupBy("t").agg(F.min(F.struct("rid", "cell", "n")).alias("p"), F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("t", "p")
-        met = at.join(regions, "t").where("rid <> p.rid").select("t", "rid", "n", "cell", "p")
-        open_ = met.where((F.col("cell") != F.col("p.cell")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))).select("t", "rid", F.col("p.rid").alias("pivot"))
-        open_ = open_.join(tested.select("rid", "pivot"), ["rid", "pivot"], "left_anti")
-        known = tested.groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("pivot", "distance"))).alias("to"))  # one entry a round
-        mine, theirs = known.select("rid", F.col("to").alias("a")), known.select(F.col("rid").alias("pivot"), F.col("to").alias("b"))
-        apart = F.exists(F.map_keys(F.coalesce("a", F.create_map().cast("map<bigint,double>"))), lambda q: F.abs(F.try_element_at("a", q) - F.try_element_at("b", q)) > radius + 1e-9)
-        open_ = open_.join(mine, "rid", "left").join(theirs, "pivot", "left").where(~F.coalesce(apart, F.lit(False))).select("t", "rid", "pivot")
-        waiting = written(open_, "jac-open")
-        # Pivots with nobody left to measure leave their region; a region of one cell is closed.
-        active = regions.select("t", F.col("p.rid").alias("pivot")).join(waiting.select("t", F.lit(True).alias("busy")).distinct(), "t", "left")
-        later = members.join(active, "t").where("rid <> pivot or busy").select("t", "rid", "n")
-        later = written(later, "jac-members")
-        if later.isEmpty():
-            forget(members, waiting, later)
+        mixed = at.groupBy("t").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("t")
+        left = written(at.join(mixed, "t", "left_semi"), "jac-left")
+        forget(members)
+        if left.isEmpty():
             return cells
-        pairs = written(waiting.groupBy("rid").agg(F.min("pivot").alias("pivot")), "jac-pairs")
+        k = 1 if turn == 0 else FIRST_PIVOTS * 4 ** (turn - 1)
+        # The limit on the rank is applied before the shuffle as well, so a region's rows do not meet.
+        ranked = left.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("rid"))).where(F.col("k") <= k)
+        pivots = written(ranked.select("t", F.col("rid").alias("pivot"), F.col("n").alias("p_n"), F.col("cell").alias("p_cell")), "jac-pivots")
+        met = left.join(pivots, "t").where((F.col("rid") > F.col("pivot")) & (F.col("cell") != F.col("p_cell")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")))
+        pairs = met.groupBy("rid").agg(F.min("pivot").alias("pivot")) if turn == 0 else met.select("rid", "pivot").distinct()
+        if turn:
+            pairs = _within_windows(pairs.join(tested.select("rid", "pivot"), ["rid", "pivot"], "left_anti"), tested, radius)
+        pairs = written(pairs, "jac-pairs")
         if not pairs.isEmpty():
             measured = measure(docs, reps, pairs, percent)
             tested = written(tested.unionByName(measured), "jac-tested")
-            cells = written(components(tested.where("linked").select(F.col("rid").alias("u"), F.col("pivot").alias("v"))), "jac-cells")
+            if not measured.where("linked").isEmpty():
+                cells = written(components(tested.where("linked").select(F.col("rid").alias("u"), F.col("pivot").alias("v"))), "jac-cells")
             forget(measured)
-        forget(members, waiting, pairs)
-        members = later
-        _sweep(spark)
+        members = left.select("t", "rid", "n")
+        if turn:  # these pivots have been through
+            members = members.join(pivots.select("t", F.col("pivot").alias("rid")), ["t", "rid"], "left_anti")
+        members = written(members, "jac-members")
+        forget(left, pivots, pairs)
+        turn += 1
+
+
+def _within_windows(pairs: DataFrame, tested: DataFrame, radius: float) -> DataFrame:
+    """Pairs that the triangle inequality over pivots both were measured against does not rule out."""
+    both_ways = tested.select("rid", "pivot", "distance").unionByName(tested.select(F.col("pivot").alias("rid"), F.col("rid").alias("pivot"), "distance"))
+    mine = both_ways.select("rid", F.col("pivot").alias("q"), F.col("distance").alias("a"))
+    theirs = both_ways.select(F.col("rid").alias("pivot"), F.col("pivot").alias("q"), F.col("distance").alias("b"))
+    out = pairs.join(mine, "rid").join(theirs, ["pivot", "q"]).where(F.abs(F.col("a") - F.col("b")) > radius + 1e-9).select("rid", "pivot").distinct()
+    return pairs.join(out, ["rid", "pivot"], "left_anti")
 
 
 def classes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
