@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, packing, pii, quality, secrets, sharding, tokens, toxicity
+from . import decontam, jaccard, packing, pii, quality, secrets, sharding, suffixes, tokens, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op3_token_counts, op4_sharding, op5_jaccard_join, op6_decontamination, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_secret_scans)
+    f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_token_counts, op4_sharding, op5_jaccard_join, op6_decontamination, op7_quality_rules, op8_toxicity, op9_best_fit_packing, op10_secret_scans)
 }
 ORACLE: dict[str, str] = {"op4_sharding": sharding.oracle_sql()}
