@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,18 +112,33 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def region_members(table: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """t (a shingle), rid, n: who meets whom. Only regions of two or more."""
+    """t (a shingle), rid, n, i: who meets whom; i is how many of the document's shingles come before t. Only regions of two or more."""
     every = table.select(F.col("uid").alias("rid"), F.explode("tok").alias("t"))
     often = every.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     shared = every.join(often, "t").join(reps, "rid")
     need = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     low = F.col("t") < CUT
-    ranked = shared.withColumn("shared_low", F.count_if(low).over(Window.partitionBy("rid"))).withColumn("k", F.row_number().over(Window.partitionBy("rid", low).orderBy("df", "t")))
+    ranked = shared.withColumn("shared_low", F.count_if(low).over(Window.partitionBy("rid"))).withColumn("k", F.row_number().over(Window.partitionBy("rid", low).orderBy(F.when(low, F.col("df")).otherwise(F.lit(0)), "t")))
     # Shingles no one else has come first; if even those fill the prefix, the document has no partner.
-    inside = (F.col("low") < need) | (low & (F.col("low") - F.col("shared_low") + F.col("k") <= need))
-    prefix = ranked.where(inside).select("t", "rid", "n")
-    several = prefix.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select("t")
-    return prefix.join(several, "t", "left_semi")
+    # Beyond the cut shingles stand in order of their hash, with at least the shared ones before them.
+    ranked = ranked.withColumn("i", F.when(low, F.col("low") - F.col("shared_low") + F.col("k") - 1).otherwise(F.col("low") + F.col("k") - 1))
+    prefix = ranked.where((F.col("low") < need) | (low & (F.col("i") < need))).select("t", "rid", "n", "i")
+    return _who_can_meet(prefix, percent)
+
+
+def _who_can_meet(members: DataFrame, percent: int) -> DataFrame:
+    """Members with somebody of a fitting size in their region.
+
+    If a pair's first common shingle is t, it shares at most what follows t. So a partner is no larger
+    than ``reach``, and no smaller than the similarity allows. Sizes are compared by classes of 1/20.
+    """
+    reach = F.floor((100 + percent) * (F.col("n") - F.col("i")) / percent) - F.col("n")
+    classes = math.ceil(math.log(100 / percent, 1.05)) + 1
+    classed = members.withColumn("z", F.floor(F.ln("n") / math.log(1.05)).cast("int"))
+    sizes = classed.groupBy("t", "z").agg(F.min("n").alias("small"), F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("t").agg(F.collect_list(F.struct("z", "small", "c")).alias("sizes")).where("size(sizes) > 1 or sizes[0].c > 1")  # a few dozen classes at most
+    fits = F.exists("sizes", lambda s: (s["small"] <= F.col("reach")) & (s["z"] >= F.col("z") - classes) & ((s["z"] != F.col("z")) | (s["c"] > 1)))
+    return classed.withColumn("reach", reach).join(sizes, "t").where(fits).select("t", "rid", "n", "i")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -185,7 +201,7 @@ def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: in
     turn = 0
     while True:
         _sweep(spark)
-        at = members.join(cells, members.rid == cells.node, "left").select("t", "rid", "n", F.coalesce("component", "rid").alias("cell"))
+        at = members.join(cells, members.rid == cells.node, "left").select("t", "rid", "n", "i", F.coalesce("component", "rid").alias("cell"))
         mixed = at.groupBy("t").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("t")
         left = written(at.join(mixed, "t", "left_semi"), "jac-left")
         forget(members)
@@ -194,8 +210,9 @@ def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: in
         k = 1 if turn == 0 else FIRST_PIVOTS * 4 ** (turn - 1)
         # The limit on the rank is applied before the shuffle as well, so a region's rows do not meet.
         ranked = left.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("rid"))).where(F.col("k") <= k)
-        pivots = written(ranked.select("t", F.col("rid").alias("pivot"), F.col("n").alias("p_n"), F.col("cell").alias("p_cell")), "jac-pivots")
-        met = left.join(pivots, "t").where((F.col("rid") > F.col("pivot")) & (F.col("cell") != F.col("p_cell")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")))
+        pivots = written(ranked.select("t", F.col("rid").alias("pivot"), F.col("n").alias("p_n"), F.col("i").alias("p_i"), F.col("cell").alias("p_cell")), "jac-pivots")
+        fit = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & ((100 + percent) * F.least(F.col("n") - F.col("i"), F.col("p_n") - F.col("p_i")) >= percent * (F.col("n") + F.col("p_n")))
+        met = left.join(pivots, "t").where((F.col("rid") > F.col("pivot")) & (F.col("cell") != F.col("p_cell")) & fit)
         pairs = met.groupBy("rid").agg(F.min("pivot").alias("pivot")) if turn == 0 else met.select("rid", "pivot").distinct()
         if turn:
             pairs = _within_windows(pairs.join(tested.select("rid", "pivot"), ["rid", "pivot"], "left_anti"), tested, radius)
@@ -206,10 +223,10 @@ def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: in
             if not measured.where("linked").isEmpty():
                 cells = written(components(tested.where("linked").select(F.col("rid").alias("u"), F.col("pivot").alias("v"))), "jac-cells")
             forget(measured)
-        members = left.select("t", "rid", "n")
+        members = left.select("t", "rid", "n", "i")
         if turn:  # these pivots have been through
             members = members.join(pivots.select("t", F.col("pivot").alias("rid")), ["t", "rid"], "left_anti")
-        members = written(members, "jac-members")
+        members = written(_who_can_meet(members, percent), "jac-members")
         forget(left, pivots, pairs)
         turn += 1
 
