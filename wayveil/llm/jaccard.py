@@ -232,12 +232,17 @@ def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: in
 
 
 def _within_windows(pairs: DataFrame, tested: DataFrame, radius: float) -> DataFrame:
-    """Pairs that the triangle inequality over pivots both were measured against does not rule out."""
-    both_ways = tested.select("rid", "pivot", "distance").unionByName(tested.select(F.col("pivot").alias("rid"), F.col("rid").alias("pivot"), "distance"))
-    mine = both_ways.select("rid", F.col("pivot").alias("q"), F.col("distance").alias("a"))
-    theirs = both_ways.select(F.col("rid").alias("pivot"), F.col("pivot").alias("q"), F.col("distance").alias("b"))
-    out = pairs.join(mine, "rid").join(theirs, ["pivot", "q"]).where(F.abs(F.col("a") - F.col("b")) > radius + 1e-9).select("rid", "pivot").distinct()
-    return pairs.join(out, ["rid", "pivot"], "left_anti")
+    """Pairs that the triangle inequality over pivots both were measured against does not rule out.
+
+    A document's distances travel as one map, so no join makes more rows than there are pairs.
+    """
+    known = tested.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "distance"))).alias("to"))
+    none = F.create_map().cast("map<bigint,double>")
+    mine, theirs = known.select("rid", F.col("to").alias("a")), known.select(F.col("rid").alias("pivot"), F.col("to").alias("b"))
+    both = pairs.join(mine, "rid", "left").join(theirs, "pivot", "left").withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
+    shared = F.array_intersect(F.map_keys("a"), F.map_keys("b"))
+    apart = F.exists(shared, lambda q: F.abs(F.try_element_at("a", q) - F.try_element_at("b", q)) > radius + 1e-9)
+    return both.where(~apart).select("rid", "pivot")
 
 
 def classes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
