@@ -49,7 +49,7 @@ def lloyd(x: np.ndarray, k: int, seed: int, iterations: int = 50) -> tuple[np.nd
     centres = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))].copy()
     labels = np.full(len(x), -1)
     for _ in range(iterations):
-        new = ((x[:, None, :] - centres[None]) ** 2).sum(-1).argmin(1)
+        new = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)  # squared distances, less what all centres share
         if (new == labels).all():
             break
         labels = new

@@ -526,8 +526,7 @@ def noisy_counts_sorted(spark, d):
 
 @query()
 def baseline_publish(spark, d):
-    small = f1(spark, d).where("traj_id < 60 and t <= 1").select("traj_id", "t", "x", "y")
-    return baseline.publish_baseline(small, 10.0, 6, phi=20)
+    return baseline.publish_baseline(f1(spark, d).select("traj_id", "t", "x", "y"), 10.0, 6)
 
 
 # Harness and analysis.
