@@ -33,17 +33,24 @@ def move_centres(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("t", "area_id").agg((F.sum(w * F.col("cx")) / F.sum(w)).alias("ax"), (F.sum(w * F.col("cy")) / F.sum(w)).alias("ay"))
 
 
-def label_cells(cells: DataFrame, cfg, iterations: int = 10) -> DataFrame:
-    """Lloyd's steps from weighted initial centres; cells get area_id and the centre (ax, ay)."""
+def label_cells(cells: DataFrame, cfg, iterations: int = 300) -> DataFrame:
+    """Lloyd's steps from weighted initial centres until none moves; cells get area_id and the centre (ax, ay).
+
+    ``iterations`` is a safety limit. Sums depend on their order in the last digits, so that much is no move.
+    """
     spark, schema = cells.sparkSession, "t int, area_id int, ax double, ay double"
-    fixed = lambda df: F.broadcast(spark.createDataFrame([tuple(r) for r in df.select("t", "area_id", "ax", "ay").orderBy("t", "area_id").collect()], schema))  # noqa: E731  k rows a step
-    centres = fixed(initial_centres(cells, cfg.n_clusters, cfg.seed))
+    listed = lambda df: [tuple(r) for r in df.select("t", "area_id", "ax", "ay").orderBy("t", "area_id").collect()]  # noqa: E731  k rows a step
+    fixed = lambda rows: F.broadcast(spark.createDataFrame(rows, schema))
+    still = lambda a, b: len(a) == len(b) and all(p[:2] == q[:2] and np.allclose(p[2:], q[2:], rtol=1e-10, atol=1e-9) for p, q in zip(a, b))
+    rows = listed(initial_centres(cells, cfg.n_clusters, cfg.seed))
     for _ in range(iterations):
-        centres = fixed(move_centres(assign_cells(cells, centres)))
-    return assign_cells(cells, centres)
+        before, rows = rows, listed(move_centres(assign_cells(cells, fixed(rows))))
+        if still(before, rows):
+            break
+    return assign_cells(cells, fixed(rows))
 
 
-def lloyd(x: np.ndarray, k: int, seed: int, iterations: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def lloyd(x: np.ndarray, k: int, seed: int, iterations: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centres of a matrix that fits a task; ties go to the first centre, empty clusters stay put."""
     rng = np.random.default_rng(seed)
     centres = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))].copy()
@@ -65,6 +72,6 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 1, key: str = "traj_id") -> t
     from pyspark.ml.functions import array_to_vector
 
     df = vectors.select(key, array_to_vector("vec").alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=50).fit(df)
+    model = KMeans(k=k, seed=seed, maxIter=300).fit(df)
     centres = vectors.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "k int, centre array<double>")
     return model.transform(df).select(key, F.col("prediction").alias("k")), centres
