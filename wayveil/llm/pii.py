@@ -32,7 +32,6 @@ _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A token with a digit or an at sign: what may turn out to be an identifier.
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
-ROUNDS = 3
 MIN_SEEDS = 3  # distinct known instances a pattern needs
 MIN_PATTERN = 700  # per mille of its instances that are of the kind (one unknown is added to each pattern)
 MIN_INSTANCE = 900  # per mille at which a candidate is taken for known
@@ -139,7 +138,7 @@ def bootstrap(occurrences: DataFrame) -> DataFrame:
     known, made = seeds, []
     open_edges = edges.where("kind is null").select("pattern", "m")
     links = edges.select("pattern", "m").distinct()
-    for _ in range(ROUNDS):
+    while True:
         hits = links.join(known, "m").groupBy("pattern", "kind").agg(F.sum("conf").alias("hit"), F.count(F.lit(1)).alias("support"))
         good = hits.where(F.col("support") >= MIN_SEEDS).join(size, "pattern").withColumn("worth", F.floor(F.col("hit") / (F.col("n") + 1)).cast("int")).where(F.col("worth") >= MIN_PATTERN)
         held = open_edges.join(good.select("pattern", "kind", "worth"), "pattern").groupBy("m", "kind").agg(F.sum(F.round(-1e6 * F.ln((1001 - F.col("worth")) / F.lit(1001.0))).cast("long")).alias("bits"), F.count(F.lit(1)).alias("held_by"))
@@ -147,8 +146,11 @@ def bootstrap(occurrences: DataFrame) -> DataFrame:
         best = scored.groupBy("m").agg(F.max(F.struct("conf", "kind")).alias("b")).select("m", F.col("b.kind").alias("kind"), F.col("b.conf").alias("conf"))
         fresh = written(best, "pii-found")
         made.append(fresh)
-        if fresh.isEmpty():
+        # Until a turn changes nothing, or only goes back and forth between candidates found before.
+        names = fresh.select("m")
+        if fresh.isEmpty() or (len(made) > 1 and names.join(ever, "m", "left_anti").isEmpty()):
             break
+        ever = names if len(made) == 1 else ever.unionByName(names).distinct()
         known = seeds.unionByName(fresh)
     forget(*made[:-1], edges)
     return made[-1]
