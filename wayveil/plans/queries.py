@@ -396,7 +396,7 @@ def cluster_one_lloyd_step(spark, d):
 
 @query()
 def cluster_areas_kmeans(spark, d):
-    pts = _first2(spark, d)
+    pts = f1(spark, d).select("traj_id", "t", "x", "y")
     cfg = G.GridConfig(20.0, randomize=False, n_clusters=8, seed="k")
     return G.build(pts, box_of(pts), cfg).areas
 
@@ -561,9 +561,9 @@ _DEMO = _PAIR + """, demo as (select i as idx, min(d) as individual_hausdorff, i
 def experiment_results(spark, d):
     from .harness import run_once
 
-    pts = f1(spark, d).where("t <= 1").select("traj_id", "t", "x", "y")
+    pts = f1(spark, d).where("t <= 1").select("traj_id", "t", "x", "y")  # tl to tu, the interval of the run
     p = {"id": 1, "eps": 40.0, "tl": 0, "tu": 1, "n_clusters": None, "do_filter": True, "sample": False, "uniform": False, "c": 10.0, "f_m1": "eps_sensitive", "f_m2": "eps_sensitive"}
-    stats, _, qd = run_once(pts, box_of(pts), p, 1, per_interval=5)
+    stats, _, qd = run_once(pts, box_of(pts), p, 1)
     return qd.withColumn("n_clusters", F.col("n_clusters").cast("int")).join(stats.select("run", "size_unique", "size_acc", "hausdorff"), "run")
 
 
