@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayveil.llm import components, decontam, jaccard, pii
 
@@ -73,7 +74,9 @@ def test_redact_keeps_columns(odd_docs, docs):
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     assert sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
     assert pii.redact(docs.limit(0)).count() == 0
-    for r in pii.redact(docs).collect():
+    clash = docs.withColumns({c: F.lit(7) for c in ("extra", "spans", "_spans", "found", "w_id", "w_hash", "email", "candidates", "text_hash", "kind")})
+    for r in pii.redact(clash).collect():
+        assert r.extra == r.spans == r._spans == r.found == r.w_id == r.email == 7
         assert r.n_chars == len(r.text) and not EMAIL.search(r.text)
 
 
@@ -138,9 +141,60 @@ def test_jaccard_chains_and_crowds(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes_of(df).collect())
     assert got == brute_classes([(d, t or "") for d, t in rows])
-    kept = jaccard.keep_one(df).collect()
+    kept = jaccard.keep_one(df.withColumns({c: F.lit(1) for c in ("w_id", "w_hash", "g_id", "i", "h", "cell", "text_hash")})).collect()
     want = {c for (d, n, c) in got if n}
     assert Counter(r.doc_id for r in kept if r.text) == Counter(want)
+    again = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "A b c d e f"), (2, "a b c d e f"), (None, "q r"), (None, "q r"), (3, ""), (3, "")], "doc_id long, text string")
+    assert Counter(r.doc_id for r in jaccard.keep_one(again).collect()) == {1: 1, None: 1, 3: 2}
+
+
+def test_cells_are_cut_by_pivots_and_blocks(spark):
+    """A crowd around one text, partly linked, a chain, and copies: cells far over what a task takes."""
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(90)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.randrange(9)):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    at = [word() for _ in range(100)]
+    for i in range(60, 120):
+        at = at[1:] + [word()] if i % 2 else at[2:] + [word(), word()]
+        rows.append((i, " ".join(at)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes_of(df, leaf_rows=6).collect())
+    assert got == brute_classes(rows)
+
+
+def test_links_in_a_cell():
+    import random
+    import numpy as np
+
+    rnd = random.Random(9)
+    for turn in range(30):
+        pool = rnd.sample(range(10**6), 40)
+        sets = [np.array(sorted(set(rnd.sample(pool, 30)[: rnd.randrange(1, 31)]) | {rnd.randrange(10**6)}), np.int64) for _ in range(rnd.randrange(1, 60))]
+        sets += [np.array(sorted(set(sets[0].tolist()) | {k}), np.int64) for k in range(rnd.randrange(9))]
+        got, want = list(range(len(sets))), list(range(len(sets)))
+
+        def join(p, a, b):
+            x, y = p[a], p[b]
+            p[:] = [min(x, y) if q in (x, y) else q for q in p]
+
+        for a, b in jaccard.cell_links(sets, 80):
+            m = len(np.intersect1d(sets[a], sets[b]))
+            assert a != b and 100 * m >= 80 * (len(sets[a]) + len(sets[b]) - m)
+            join(got, a, b)
+        for a in range(len(sets)):
+            for b in range(a):
+                m = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * m >= 80 * (len(sets[a]) + len(sets[b]) - m):
+                    join(want, a, b)
+        assert got == want
 
 
 def test_jaccard_empty(docs):
@@ -218,7 +272,10 @@ def test_leaks(spark, docs):
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.find_leaks(df, b).collect()}
     assert got == brute_leaks([(d, t or "") for d, t in rows], [(i, t or "") for i, t in extra])
     assert (700, 900) in got and (None, 0) in got
-    left = {r.doc_id for r in decontam.drop_leaks(df, b).collect()}
+    clash = df.withColumns({c: F.lit(7) for c in ("l_id", "w_id", "w_hash", "n", "item_id", "text_hash", "start", "b")})
+    dropped = decontam.drop_leaks(clash, b).collect()
+    assert all(r.l_id == r.w_id == r.n == r.text_hash == 7 for r in dropped)
+    left = {r.doc_id for r in dropped}
     assert left == {d for d, _ in rows} - {d for d, _ in got}
     assert decontam.find_leaks(df.limit(0), b).count() == 0 and decontam.find_leaks(df, b.limit(0)).count() == 0
 
@@ -226,7 +283,6 @@ def test_leaks(spark, docs):
 def test_block_join_reaches_the_radius(spark):
     """Fingerprints within the radius agree in a flipped block."""
     import random
-    from pyspark.sql import functions as F
 
     rnd = random.Random(1)
     rows = []

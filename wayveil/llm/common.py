@@ -45,6 +45,30 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+#: Rows of a few fixed-width columns up to which a counted table is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` (a written table of fixed-width rows: counting it is cheap) marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def same_row(docs: DataFrame, rows: DataFrame) -> Column:
+    """Joins ``docs`` (doc_id, text) to ``rows`` (w_id, w_hash). Columns are bound to their frames, so no name of the caller's can clash."""
+    return docs["doc_id"].cast("long").eqNullSafe(rows["w_id"]) & (text_hash(docs["text"]) == rows["w_hash"])
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` but for the rows that ``rows`` (doc_id, text_hash) names; broadcast if they are few, counted first."""
+    gone = written(rows.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).distinct(), "gone")
+    return docs.join(sized(gone), same_row(docs, gone), "left_anti")
+
+
 def words(text: Column) -> Column:
     """Words of a text, in order; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")

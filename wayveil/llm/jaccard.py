@@ -1,17 +1,22 @@
 """Exact Jaccard self-join of documents as a metric-space join, down to linked groups.
 
-1 - Jaccard is a metric. Two documents within the radius must share a rare shingle (the prefix
-bound: in one fixed order of all shingles, each has a shared one among its first n - ceil(t n) + 1),
-so the shingles of those prefixes open regions, and every link lies inside one. In each region
-documents are measured against a pivot, in rounds. A document within the radius of the pivot
-joins its cell. One outside is kept for the region's next pivot, in whose window it falls unless
-the triangle inequality rules it out: if both were measured against some pivot and the distances
-differ by more than the radius, the pair can't link. A region ends when its documents are in one
-cell or every pivot has been through; so nothing is lost and no task gathers a region.
-
-A pair shares thousands of shingles of other documents only through long common passages; their
-shingles are frequent and come last in the order, so they rarely open regions. The order is by
-document frequency over the whole input.
+1 - Jaccard is a metric. The space is cut in three steps, each of which loses no link:
+
+1. A shingle is a pivot too: a set of one. In a fixed order of all shingles (rare ones first) two
+   linked documents share one among their first n - ceil(t n) + 1, so each document joins the
+   regions of those; sizes and positions drop those with no possible partner in a region. Regions
+   that open around the same first document are one cell, and that document is its pivot.
+2. A cell too large for a task takes more pivots and each of its documents is measured against
+   them. A document goes to its nearest pivot (its Voronoi region) and, by the triangle
+   inequality, into every region whose pivot is no further than the nearest plus twice the radius:
+   whoever links with a document of that region is there as well. Documents far from every pivot
+   share one more region. Regions are cut again until they fit a task.
+3. A cell that pivots can't cut (all its documents are within the window of each) is joined block
+   by block; documents linked to one pivot are linked already, so their blocks never meet.
+
+In a task, documents are sorted by distance to the cell's first one and each is compared, whole
+set with whole set, with the window of those whose distance differs by no more than the radius.
+What comes out are links enough to span each component, never all pairs.
 
 Equal shingle sets are one class with one representative. Null and empty texts have an empty
 set and link with nothing. Null ids take part but are no one's smallest id. Repeated rows are
@@ -24,6 +29,7 @@ import gc
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forget, written
+from .common import forget, same_row, sized, without, written
 from .components import components
 
 SHINGLE = 5
@@ -40,11 +46,11 @@ PERCENT = 80
 #: Hash bound under which all shingles of a document are offered as prefix shingles; a little
 #: over the share a prefix needs. Documents with too few below it offer the next ones as well.
 CUT = int(0.22 * 2**63)
-#: Rows up to which a counted table is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
 MEMORY = 300_000
-#: Pivots of a region in the second round; four times as many in each round after.
-FIRST_PIVOTS = 8
+#: Documents, and shingles of them all, that one task takes as a cell.
+LEAF_ROWS, LEAF_SHINGLES = 1_000, 4_000_000
+#: Pivots that a larger cell is cut by.
+PIVOTS = 16
 _EMPTY = np.empty(0, np.int64)
 
 
@@ -123,149 +129,249 @@ def region_members(table: DataFrame, reps: DataFrame, percent: int) -> DataFrame
     # Beyond the cut shingles stand in order of their hash, with at least the shared ones before them.
     ranked = ranked.withColumn("i", F.when(low, F.col("low") - F.col("shared_low") + F.col("k") - 1).otherwise(F.col("low") + F.col("k") - 1))
     prefix = ranked.where((F.col("low") < need) | (low & (F.col("i") < need))).select("t", "rid", "n", "i")
-    return _who_can_meet(prefix, percent)
+    return _who_can_meet(_who_can_meet(prefix, percent), percent)  # some have nobody left after the first time
 
 
 def _who_can_meet(members: DataFrame, percent: int) -> DataFrame:
     """Members with somebody of a fitting size in their region.
 
-    If a pair's first common shingle is t, it shares at most what follows t. So a partner is no larger
-    than ``reach``, and no smaller than the similarity allows. Sizes are compared by classes of 1/20.
+    If a pair's first common shingle is t, it shares at most what follows t in either. So each is no
+    larger than the other's ``reach``, and no smaller than the similarity allows. Sizes are compared by
+    classes of 1/20, of which the smallest size and the furthest reach are known. Two documents that
+    share little besides a common passage reach only smaller ones than themselves, and so don't meet.
     """
     reach = F.floor((100 + percent) * (F.col("n") - F.col("i")) / percent) - F.col("n")
     classes = math.ceil(math.log(100 / percent, 1.05)) + 1
-    classed = members.withColumn("z", F.floor(F.ln("n") / math.log(1.05)).cast("int"))
-    sizes = classed.groupBy("t", "z").agg(F.min("n").alias("small"), F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("t").agg(F.collect_list(F.struct("z", "small", "c")).alias("sizes")).where("size(sizes) > 1 or sizes[0].c > 1")  # a few dozen classes at most
-    fits = F.exists("sizes", lambda s: (s["small"] <= F.col("reach")) & (s["z"] >= F.col("z") - classes) & ((s["z"] != F.col("z")) | (s["c"] > 1)))
-    return classed.withColumn("reach", reach).join(sizes, "t").where(fits).select("t", "rid", "n", "i")
+    classed = members.withColumn("z", F.floor(F.ln("n") / math.log(1.05)).cast("int")).withColumn("reach", reach)
+    sizes = classed.groupBy("t", "z").agg(F.min("n").alias("small"), F.max("reach").alias("far"), F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("t").agg(F.collect_list(F.struct("z", "small", "far", "c")).alias("sizes")).where("size(sizes) > 1 or sizes[0].c > 1")  # a few dozen classes at most
+    fits = F.exists("sizes", lambda s: (s["small"] <= F.col("reach")) & (s["far"] >= F.col("n")) & (s["z"] >= F.col("z") - classes) & ((s["z"] != F.col("z")) | (s["c"] > 1)))
+    return classed.join(sizes, "t").where(fits).select("t", "rid", "n", "i")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rid, s (the shingle set as bytes) of the representatives in ``wanted`` (rid), made anew from their texts."""
+    names = written(reps.select("rid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).join(wanted, "rid", "left_semi"), "jac-names")
+    found = docs.join(sized(names), same_row(docs, names)).select(names["rid"], F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
 
-
-def measure(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """rid, pivot, distance, linked for each of ``pairs``; sets are made anew from the texts that the pairs name."""
-    wanted = pairs.select(F.col("rid").alias("uid"), "pivot").unionByName(pairs.select(F.col("pivot").alias("uid"), "pivot").distinct())
-    wanted = wanted.groupBy("uid").agg(F.collect_set("pivot").alias("pivots"))  # its pivot, and itself if it is one
-    wanted = written(wanted.join(reps.select(F.col("rid").alias("uid"), F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")), "uid"), "jac-wanted")
-    texts = _narrow(docs)
-    found = texts.join(_sized(wanted), texts.doc_id.eqNullSafe(F.col("w_id")) & (texts.text_hash == F.col("w_hash")))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _WordHashes()
         for b in batches:
-            made = pa.array([shingle_set(t.as_py(), memory).tobytes() for t in b.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=["uid", "pivots", "s"])
-
-    with_sets = found.select("uid", "pivots", "text").mapInArrow(sets, "uid long, pivots array<long>, s binary")
-    dealt = written(with_sets.select(F.col("uid").alias("rid"), F.explode("pivots").alias("pivot"), "s"), "jac-sets")
-    own = dealt.where("rid = pivot").select("pivot", F.col("s").alias("p")).dropDuplicates(["pivot"])
-    both = dealt.where("rid <> pivot").join(own, "pivot").select("rid", "pivot", "s", "p")
+            made = pa.array([shingle_set(t.as_py(), memory).tobytes() for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), made], names=["rid", "s"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            distance, linked = [], []
-            for s, p in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(s.as_py(), np.int64), np.frombuffer(p.as_py(), np.int64)
-                joint = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - joint
-                distance.append(1 - joint / union)
-                linked.append(100 * joint >= percent * union)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["rid", "pivot", "distance", "linked"])
-
-    out = written(both.mapInArrow(compare, "rid long, pivot long, distance double, linked boolean").distinct(), "jac-measured")
-    forget(wanted, dealt)
+    out = written(found.mapInArrow(run, "rid long, s binary").dropDuplicates(["rid"]), "jac-sets")  # a repeated row comes more than once
+    forget(names)
     return out
 
 
+def cell_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the sets (by position), enough to span every component.
+
+    Sets are sorted by distance to the first. One that has been reached is compared with those not
+    reached yet whose distance differs by no more than the radius; what it links with is reached.
+    """
+    radius = 1 - percent / 100 + 1e-9
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, often = np.unique(np.concatenate([_EMPTY, *sets]), return_inverse=True, return_counts=True)
+    shared = often[token] > 1  # the rest counts by its number alone
+    owner, token = owner[shared], token[shared]
+    mark = np.zeros(len(often), bool)
+    begin = np.searchsorted(owner, np.arange(len(sets) + 1))
+
+    def joint(x: int, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        own = token[begin[x] : begin[x + 1]]
+        mark[own] = True
+        run = np.concatenate([[0], np.cumsum(mark[tokens])])
+        mark[own] = False
+        return run[edges[1:]] - run[edges[:-1]]
+
+    first = joint(0, token, begin)
+    distance = 1 - first / (size + size[0] - first)
+
+    def line_up(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in order of distance, their tokens and where each one's begin."""
+        ids = ids[np.argsort(distance[ids], kind="stable")]
+        parts = [token[begin[i] : begin[i + 1]] for i in ids]
+        return ids, np.concatenate([token[:0], *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+    ids, tokens, edges = line_up(np.arange(len(sets)))
+    open_ = np.ones(len(ids), bool)
+    links: list[tuple[int, int]] = []
+    queue: list[int] = []
+    while True:
+        if not queue:
+            left = np.flatnonzero(open_)
+            if not len(left):
+                return links
+            open_[left[0]] = False
+            queue = [int(ids[left[0]])]
+        x = queue.pop()
+        at = distance[ids]
+        lo, hi = np.searchsorted(at, distance[x] - radius), np.searchsorted(at, distance[x] + radius, side="right")
+        if lo >= hi or not open_[lo:hi].any():
+            continue
+        n = joint(x, tokens[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo])
+        reached = lo + np.flatnonzero(open_[lo:hi] & (100 * n >= percent * (size[ids[lo:hi]] + size[x] - n)))
+        open_[reached] = False
+        new = ids[reached].tolist()
+        links += [(x, y) for y in new]
+        queue += new
+        if 2 * np.count_nonzero(open_) < len(ids):
+            ids, tokens, edges = line_up(ids[open_])
+            open_ = np.ones(len(ids), bool)
+
+
+def _leaf_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links within the cells (cell, rid), each of which fits a task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rid = table["rid"].to_numpy()
+        order = np.argsort(rid)
+        made = [np.frombuffer(s, np.int64) for s in table["s"].to_pylist()]
+        links = cell_links([made[i] for i in order], percent)
+        u, v = (rid[order[[x[k] for x in links]]] if links else _EMPTY for k in (0, 1))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return cells.join(sets, "rid").select("cell", "rid", "s").groupBy("cell").applyInArrow(run, "u long, v long")
+
+
+def _measured(big: DataFrame, sets: DataFrame, turn: int, percent: int, leaf_rows: int, leaf_shingles: int) -> DataFrame:
+    """cell, rid, n, rows, total, d (distance to each of the cell's pivots), linked (the pivots it links with).
+
+    ``big``: cell, rid, n, rows, total. Cells are dealt in chunks that fit a task; each chunk gets the pivots' sets.
+    """
+    chunks = F.greatest(F.ceil(F.col("rows") / leaf_rows), F.ceil(F.col("total") / leaf_shingles)).cast("int")
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("rid", F.lit(turn)), "rid"))
+    chosen = big.withColumn("k", rank).where(F.col("k") <= PIVOTS)  # the limit also acts before the shuffle
+    chosen = written(chosen.join(sets, "rid").select("cell", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rid", "s"), "jac-pivots")
+    dealt = big.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks).cast("int")).join(sets, "rid").select("cell", "chunk", "rid", "n", "rows", "total", "s")
+
+    def run(mine: pa.Table, pivots: pa.Table) -> pa.Table:
+        order = np.argsort(pivots["rid"].to_numpy())
+        ids = pivots["rid"].to_numpy()[order]
+        theirs = [np.frombuffer(pivots["s"][int(i)].as_py(), np.int64) for i in order]
+        d, linked = [], []
+        for s in mine["s"]:
+            x = np.frombuffer(s.as_py(), np.int64)
+            joint = np.array([len(np.intersect1d(x, p, assume_unique=True)) for p in theirs])
+            union = np.array([len(p) for p in theirs]) + len(x) - joint
+            d.append((1 - joint / union).tolist())
+            linked.append(ids[100 * joint >= percent * union].tolist())
+        return mine.select(["cell", "rid", "n", "rows", "total"]).append_column("d", pa.array(d, pa.list_(pa.float64()))).append_column("linked", pa.array(linked, pa.list_(pa.int64())))
+
+    return dealt.groupBy("cell", "chunk").cogroup(chosen.groupBy("cell", "chunk")).applyInArrow(run, "cell long, rid long, n long, rows long, total long, d array<double>, linked array<long>")
+
+
+def _voronoi(measured: DataFrame, turn: int, percent: int) -> DataFrame:
+    """cell, sub, rid, n: each document in its nearest pivot's region and in those its window reaches.
+
+    Region -1 is of those far from all pivots: a pair with one of them at 1 - radius or more from its
+    nearest pivot has the other at 1 - 2 radius or more. Every other pair meets in the home of either.
+    """
+    radius, eps = 1 - percent / 100, 1e-9
+    near = F.array_min("d")
+    at = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda j: (near < 1 - radius + eps) & (F.get("d", j) < 1) & (F.get("d", j) <= near + 2 * radius + eps))
+    far = F.when(near >= 1 - 2 * radius - eps, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return measured.select("cell", F.explode(F.concat(at, far)).alias("j"), "rid", "n").select("cell", F.xxhash64("cell", F.lit(turn), "j").alias("sub"), "rid", "n")
+
+
+def _blocks(measured: DataFrame, percent: int, leaf_rows: int, leaf_shingles: int) -> DataFrame:
+    """cell, rid: cells of two blocks each, so that any two documents meet that can link and aren't linked to one pivot.
+
+    Blocks are of like sizes: sets whose sizes are two classes apart are too different.
+    """
+    size_class = F.floor(F.ln("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    named = measured.select("cell", "rid", "n", F.array_min("linked").alias("own"), size_class.alias("z"))
+    many = written(named.where("own is not null").groupBy("cell", "own").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * 8 >= leaf_rows).select("cell", "own", F.col("own").alias("label")), "jac-labels")
+    named = named.join(sized(many), ["cell", "own"], "left").drop("own")  # a few documents around a pivot are no block of their own
+    size = named.groupBy("cell", "label", "z").agg(F.greatest(F.ceil(F.count(F.lit(1)) * 2 / leaf_rows), F.ceil(F.sum("n") * 2 / leaf_shingles)).alias("n_blocks"))
+    blocks = written(size.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("b", F.xxhash64("label", "z", "k")), "jac-blocks")
+    one, two = (blocks.select("cell", F.col("label").alias(f"l{i}"), F.col("z").alias(f"z{i}"), F.col("b").alias(f"b{i}")) for i in (1, 2))
+    meet = one.join(two, "cell").where("b1 <= b2 and abs(z1 - z2) <= 1 and not coalesce(l1 = l2, false)").withColumn("pair", F.xxhash64("cell", "b1", "b2"))
+    meet = meet.select("cell", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"), "pair")
+    of = size.select(F.col("cell").alias("of_cell"), F.col("label").alias("of_label"), F.col("z").alias("of_z"), "n_blocks")
+    own = named.join(of, (F.col("cell") == F.col("of_cell")) & F.col("label").eqNullSafe(F.col("of_label")) & (F.col("z") == F.col("of_z"))).select("cell", "rid", F.xxhash64("label", "z", F.pmod(F.xxhash64("rid"), "n_blocks")).alias("b"))
+    return own.join(meet, ["cell", "b"]).select(F.col("pair").alias("cell"), "rid")
+
+
 def _sweep(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of plans that are done with."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, component over representatives that link with another; empty if none does.
-
-    The first round measures each document against one pivot, which draws most near copies into
-    cells; later rounds take ever more pivots a region, each measured against all who still need it.
-    """
+def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: int = PERCENT, leaf_rows: int = LEAF_ROWS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
+    """node, component over representatives that link with another; empty if none does. ``table`` is read no more when this returns."""
     spark = docs.sparkSession
-    radius = 1 - percent / 100
-    empty = lambda **cols: spark.createDataFrame(pa.table({k: pa.array([], t) for k, t in cols.items()}))
     members = written(region_members(table, reps.select("rid", "n", "low"), percent), "jac-members")
-    tested = empty(rid=pa.int64(), pivot=pa.int64(), distance=pa.float64(), linked=pa.bool_())
-    cells = empty(node=pa.int64(), component=pa.int64())
-    turn = 0
+    _sweep(spark)
+    first = members.groupBy("t").agg(F.min("rid").alias("cell"))
+    work = written(members.join(first, "t").select("cell", "rid", "n").distinct(), "jac-cells")
+    forget(members)
+    sets = sets_of(docs, reps, work.select("rid").distinct())
+    leaves, links, turn = [], [], 0
     while True:
-        _sweep(spark)
-        at = members.join(cells, members.rid == cells.node, "left").select("t", "rid", "n", "i", F.coalesce("component", "rid").alias("cell"))
-        mixed = at.groupBy("t").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo < hi").select("t")
-        left = written(at.join(mixed, "t", "left_semi"), "jac-left")
-        forget(members)
-        if left.isEmpty():
-            return cells
-        k = 1 if turn == 0 else FIRST_PIVOTS * 4 ** (turn - 1)
-        # The limit on the rank is applied before the shuffle as well, so a region's rows do not meet.
-        ranked = left.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("rid"))).where(F.col("k") <= k)
-        pivots = written(ranked.select("t", F.col("rid").alias("pivot"), F.col("n").alias("p_n"), F.col("i").alias("p_i"), F.col("cell").alias("p_cell")), "jac-pivots")
-        fit = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & ((100 + percent) * F.least(F.col("n") - F.col("i"), F.col("p_n") - F.col("p_i")) >= percent * (F.col("n") + F.col("p_n")))
-        met = left.join(pivots, "t").where((F.col("rid") > F.col("pivot")) & (F.col("cell") != F.col("p_cell")) & fit)
-        pairs = met.groupBy("rid").agg(F.min("pivot").alias("pivot")) if turn == 0 else met.select("rid", "pivot").distinct()
-        if turn:
-            pairs = _within_windows(pairs.join(tested.select("rid", "pivot"), ["rid", "pivot"], "left_anti"), tested, radius)
-        pairs = written(pairs, "jac-pairs")
-        if not pairs.isEmpty():
-            measured = measure(docs, reps, pairs, percent)
-            tested = written(tested.unionByName(measured), "jac-tested")
-            if not measured.where("linked").isEmpty():
-                cells = written(components(tested.where("linked").select(F.col("rid").alias("u"), F.col("pivot").alias("v"))), "jac-cells")
-            forget(measured)
-        members = left.select("t", "rid", "n", "i")
-        if turn:  # these pivots have been through
-            members = members.join(pivots.select("t", F.col("pivot").alias("rid")), ["t", "rid"], "left_anti")
-        members = written(_who_can_meet(members, percent), "jac-members")
-        forget(left, pivots, pairs)
+        sizes = work.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
+        large = written(sizes.where((F.col("rows") > leaf_rows) | (F.col("total") > leaf_shingles) & (F.col("rows") > 2)), "jac-large")
+        if large.isEmpty():
+            leaves.append(work.select("cell", "rid"))
+            break
+        leaves.append(work.join(sized(large.select("cell")), "cell", "left_anti").select("cell", "rid"))
+        measured = written(_measured(work.join(sized(large), "cell"), sets, turn, percent, leaf_rows, leaf_shingles), "jac-measured")
+        links.append(measured.select(F.col("rid").alias("u"), F.explode("linked").alias("v")))
+        regions = _voronoi(measured, turn, percent)
+        # A cut counts if no region has more than half the cell and copies no more than double it.
+        cut = regions.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("c")).groupBy("cell").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
+        cut = written(cut.join(large.select("cell", "rows"), "cell").where("2 * most <= rows and all <= 2 * rows").select("cell"), "jac-cut")
+        work = written(regions.join(sized(cut), "cell").select(F.col("sub").alias("cell"), "rid", "n"), "jac-regions")
+        leaves.append(written(_blocks(measured.join(sized(cut), "cell", "left_anti"), percent, leaf_rows, leaf_shingles), "jac-pairs"))
         turn += 1
+    _sweep(spark)
+    found = _leaf_links(reduce(DataFrame.unionByName, leaves), sets, percent)
+    linked = written(reduce(DataFrame.unionByName, [found, *links]).distinct(), "jac-links")
+    forget(sets, *leaves, work)
+    return components(linked)
+
+
+def _grouped(docs: DataFrame, percent: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """doc_id, text_hash, n_shingles, cell (of linked classes; null without words) for each row of ``docs``."""
+    offered = written(offer(docs, percent), "jac-offered")
+    table = written(offered.drop("tok"), "jac-rows")
+    groups = written(table.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("rid")), "jac-classes")
+    reps = written(table.select(F.col("uid").alias("rid"), "doc_id", "text_hash", "n", "low").join(groups.select("rid"), "rid", "left_semi"), "jac-reps")
+    cells = written(link_classes(docs, offered, reps, percent, leaf_rows), "jac-components")
+    forget(offered, reps)
+    named = groups.join(cells, groups["rid"] == cells["node"], "left").select("d1", "d2", F.coalesce("component", "rid").alias("cell"))
+    out = written(table.join(named, ["d1", "d2"], "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cell")).alias("cell")), "jac-grouped")
+    forget(table, groups, cells)
+    _sweep(docs.sparkSession)
+    return out
 
 
-def _within_windows(pairs: DataFrame, tested: DataFrame, radius: float) -> DataFrame:
-    """Pairs that the triangle inequality over pivots both were measured against does not rule out.
-
-    A document's distances travel as one map, so no join makes more rows than there are pairs.
-    """
-    known = tested.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "distance"))).alias("to"))
-    none = F.create_map().cast("map<bigint,double>")
-    mine, theirs = known.select("rid", F.col("to").alias("a")), known.select(F.col("rid").alias("pivot"), F.col("to").alias("b"))
-    both = pairs.join(mine, "rid", "left").join(theirs, "pivot", "left").withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
-    shared = F.array_intersect(F.map_keys("a"), F.map_keys("b"))
-    apart = F.exists(shared, lambda q: F.abs(F.try_element_at("a", q) - F.try_element_at("b", q)) > radius + 1e-9)
-    return both.where(~apart).select("rid", "pivot")
-
-
-def classes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def classes_of(docs: DataFrame, percent: int = PERCENT, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for each row of ``docs``."""
-    table = written(offer(docs, percent), "jac-sets")
-    groups = table.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("rid"), F.min("doc_id").alias("first_doc"))
-    groups = written(groups, "jac-classes")
-    reps = written(table.select(F.col("uid").alias("rid"), "doc_id", "text_hash", "n", "low").join(groups.select("rid"), "rid", "left_semi"), "jac-reps")
-    cells = link_classes(docs, table, reps, percent)
-    named = groups.join(cells, groups.rid == cells.node, "left").select("d1", "d2", "first_doc", F.coalesce("component", "rid").alias("cell"))
-    least = named.groupBy("cell").agg(F.min("first_doc").alias("component"))
-    final = named.join(least, "cell").select("d1", "d2", "component")
-    rows = table.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "d1", "d2")
-    return rows.join(final, ["d1", "d2"], "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = _grouped(docs, percent, leaf_rows)
+    least = rows.where("cell is not null").groupBy("cell").agg(F.min("doc_id").alias("component"))
+    return rows.join(least, "cell", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each linked group: the one with the smallest id (rows without words all stay).
+    """``docs`` with one row of each linked group: the one with the smallest id (null ids last; then the smallest hash of the text).
 
-    Equal rows of one id count as one document. The rows that go are joined against: broadcast if
-    they are few (counted first), else by shuffle.
+    Rows without words are in no group and all stay. The rows that go are joined against: broadcast
+    if they are few (counted first), else by shuffle. A row that is repeated whole under the smallest
+    id stays once; such rows alone are gathered, by their id and text.
     """
-    c = classes_of(docs, percent)
-    gone = written(c.where("n_shingles > 0 and (doc_id is null or doc_id <> component_id)").where("component_id is not null").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct(), "jac-gone")
-    left = docs.join(_sized(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("g_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("g_hash")), "left_anti")
-    return left
+    rows = _grouped(docs, percent).where("cell is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    best = rows.groupBy("cell").agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("cell", F.col("b.doc_id").alias("b_id"), F.col("b.text_hash").alias("b_hash"))
+    in_groups = written(rows.join(best, "cell").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash"))).alias("stays")), "jac-verdicts")
+    left = without(docs, in_groups.where(~F.col("stays")))
+    again = written(in_groups.where("stays").groupBy(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "jac-repeated")
+    if again.isEmpty():
+        return left
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    once = docs.join(sized(again), same_row(docs, again)).select(again["w_id"].alias("i"), again["w_hash"].alias("h"), whole).groupBy("i", "h").agg(F.first("row").alias("row")).select("row.*")
+    return without(left, again.select(F.col("w_id").alias("doc_id"), F.col("w_hash").alias("text_hash"))).unionByName(once)
