@@ -1,7 +1,8 @@
 """Repeated passages against windows in plain Python."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import groupby
 
 import pytest
 
@@ -10,33 +11,33 @@ from wayveil.llm import suffixes
 from .test_per_row import texts_of
 
 
-def covered(pairs, k=50):
-    """Words of each text that some k-word window found in another text covers; copies count as another text."""
+def stretches(pairs, k=50):
+    """(id, start, words) of maximal stretches whose every k-word window stands in another row too."""
     words = [t.encode().lower().split() for _, t in pairs]
     by = defaultdict(set)
     for i, w in enumerate(words):
         for a in range(len(w) - k + 1):
             by[tuple(w[a : a + k])].add(i)
-    out = defaultdict(set)
+    out = Counter()
     for i, w in enumerate(words):
-        for a in range(len(w) - k + 1):
-            if len(by[tuple(w[a : a + k])]) > 1:
-                out[pairs[i][0]].update(range(a, a + k))
-    return out
-
-
-def reported(rows):
-    out = defaultdict(set)
-    for r in rows:
-        out[r.doc_id].update(range(r.start, r.start + r.n_words))
+        flags = [len(by[tuple(w[a : a + k])]) > 1 for a in range(len(w) - k + 1)]
+        for own, run in groupby(range(len(flags)), lambda a: flags[a]):
+            if own:
+                run = list(run)
+                out[pairs[i][0], run[0], len(run) + k - 1] += 1
     return out
 
 
-def check_rows(pairs, rows):
-    words = {d: t.encode().lower().split() for d, t in pairs}
+def check(pairs, rows):
+    words = defaultdict(list)
+    for d, t in pairs:
+        words[d].append(t.encode().lower().split())
     for r in rows:
-        assert r.n_words >= 50
-        assert words[r.doc_id][r.start : r.start + r.n_words] == words[r.other_doc_id][r.other_start : r.other_start + r.n_words]
+        assert r.match_words >= 50 and r.start <= r.match_start and r.match_start + r.match_words <= r.start + r.n_words
+        here = [w[r.match_start : r.match_start + r.match_words] for w in words[r.doc_id]]
+        there = [w[r.other_start : r.other_start + r.match_words] for w in words[r.other_doc_id]]
+        assert any(len(h) == r.match_words and h in there for h in here)
+    assert Counter((r.doc_id, r.start, r.n_words) for r in rows) == stretches(pairs)
 
 
 @pytest.mark.parametrize("which", ["docs", "odd_docs"])
@@ -44,8 +45,7 @@ def test_repeated_passages(which, request):
     df = request.getfixturevalue(which)
     pairs = texts_of(df)
     rows = suffixes.repeated_passages(df).collect()
-    check_rows(pairs, rows)
-    assert reported(rows) == covered(pairs)
+    check(pairs, rows)
 
 
 def test_crowds_and_tails(spark):
@@ -58,9 +58,24 @@ def test_crowds_and_tails(spark):
     rows += [(40 + i, some(9) + p[-30:] + some(9)) for i in range(10)]
     rows += [(60, q), (61, some(3) + q[10:80] + some(4)), (62, some(8) + q[60:] + q[:60]), (63, r + ["x"] + r), (64, some(5) + r), (65, r[1:] + some(60)), (66, ["same"] * 200), (67, ["same"] * 70 + some(4)), (68, q)]
     rows = [(i, " ".join(w)) for i, w in rows]
-    got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    check_rows(rows, got)
-    assert reported(got) == covered(rows)
+    check(rows, suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_crowds_that_share_either_end_of_a_passage(spark):
+    """Two texts share a whole passage; around them stand a hundred with its first words and a hundred with its last."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    rows = []
+    for k, (n, head, tail) in enumerate(((60, 50, 11), (56, 47, 10), (52, 50, 2), (50, 49, 1), (53, 40, 20))):
+        p = some(n)
+        rows += [(1000 * k + i, some(rnd.randrange(30)) + p + some(rnd.randrange(30))) for i in range(2)]
+        rows += [(1000 * k + 10 + i, some(rnd.randrange(30)) + p[:head] + some(20)) for i in range(100)]
+        rows += [(1000 * k + 200 + i, some(rnd.randrange(30)) + p[tail:] + some(20)) for i in range(100)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, found)
+    assert {1000 * k + i for k in range(5) for i in range(2)} <= {r.doc_id for r in found}
 
 
 def test_nothing(docs, spark):

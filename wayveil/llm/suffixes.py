@@ -1,16 +1,22 @@
 """Repeated passages by a sparse suffix array.
 
 Of the word positions of a text, those at window minima of a hash of eight words are kept
-(minimisers): equal passages keep equal positions, whatever stands around them. Positions whose
-eight words occur in one text only are dropped. What is left are sparse suffixes, sorted across
-the cluster by fingerprints of their first 8, 16, 32 and 48 words, so neighbours share the
-longest of these prefixes; and sorted once more by what precedes them. Neighbours from
-different texts are compared, and each match is extended left and right word by word. Reported
-are maximal matches of at least ``MIN_WORDS`` words.
-
-Equal texts are one: their copies are reported against the first of them as a whole. Null,
-empty and short texts hold no passage. Null ids take part like others; repeated rows match each
-other. A text's match with itself is not reported. An empty table gives no rows.
+(minimisers): equal passages keep equal positions, whatever stands around them. Every passage of
+``MIN_WORDS`` words has a kept position among its first ``WINDOW``, and so ``RIGHT`` words of its own
+to the right of it. The suffixes that begin there are sorted across the cluster by their first
+``RIGHT`` words, and those that equal no neighbour in them are dropped. The others are extended left
+and right, in every way that makes ``MIN_WORDS`` words of it; the extended ones are sorted and
+compared once more. One order of suffixes is not enough: texts that share one end of a passage can
+stand between two that share all of it.
+
+Reported are maximal stretches of a text whose every window of ``MIN_WORDS`` words stands in another
+text too, with the longest part of each that stands in one of them word for word. So what comes out
+grows with the texts, not with the pairs of a crowd. Words are compared by fingerprints of 126 bits.
+
+Equal texts of enough words are reported whole, against one another. Null, empty and short texts
+hold no passage. Null ids take part like others; a repeated row is a copy of itself. What a text
+repeats within itself is not reported. Which of several other texts is named is arbitrary. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,16 +28,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import forget, written
+from .common import forget, same_row, sized, text_hash, written
 
 MIN_WORDS = 50
 GRAM = 8
-#: Grams in a minimiser window: at least two starts of any passage of MIN_WORDS words are kept.
+#: Grams of which the least is kept. All of them lie within MIN_WORDS words.
 WINDOW = 21
-BROADCAST_ROWS = 1_000_000
+#: Words from a kept position that a passage which has it among its first WINDOW surely holds.
+RIGHT = MIN_WORDS - WINDOW + 1
+#: Bytes of keys up to which the wanted suffixes are broadcast to the scan of texts; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
+#: Rows of one Arrow batch that goes back to Spark.
+OUT_ROWS = 200_000
 MEMORY = 300_000
-_RIGHT, _LEFT = (8, 16, 32, 48), (8, 16, 32, 42)
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,179 +89,122 @@ def _inverse_powers(n: int) -> np.ndarray:
     return out
 
 
-def minimisers(text: bytes, memory: _WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the grams that are the last minimum of some window of WINDOW grams."""
+def suffix_starts(text: bytes, memory: _WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of MIN_WORDS words: the kept position among its first WINDOW; then the running sums and powers, and the number of words."""
     a = word_hashes(text, memory)
+    sums, powers = prefix_sums(a)
+    if len(a) < MIN_WORDS:
+        return np.empty(0, np.int64), sums, powers, a
     n = len(a) - GRAM + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.zeros(n, np.uint64)
     for i in range(GRAM):
         h = h * _M2 + a[i : n + i]
-    h = (_mixed(h) >> np.uint64(1)).astype(np.int64)
-    if n <= WINDOW:
-        at = np.array([n - 1 - int(np.argmin(h[::-1]))])
-    else:
-        w = np.lib.stride_tricks.sliding_window_view(h[::-1], WINDOW)
-        at = np.unique(n - 1 - (np.arange(len(w)) + w.argmin(axis=1)))
-    return at, h[at]
+    h = _mixed(h)[: len(a) - RIGHT + 1]
+    # The last of equal minima, so that what precedes a window has no say.
+    w = np.lib.stride_tricks.sliding_window_view(h[::-1], WINDOW)
+    at = (len(h) - 1 - (np.arange(len(w)) + w.argmin(axis=1)))[::-1]
+    return at, sums, powers, a
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+def _keys(at: np.ndarray, sums: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept positions and the fingerprints of the RIGHT words from each."""
+    kept = np.unique(at)
+    return kept, stretches(sums, powers, kept, kept + RIGHT)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, grams (array of hashes at kept positions) and a row number ``uid``."""
+    """doc_id, text_hash, n_words, keys (distinct fingerprints of the kept suffixes' first RIGHT words) and a row number ``uid``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _WordHashes()
         for b in batches:
-            found = [(len(t.as_py().split()), minimisers(t.as_py(), memory)[1]) for t in b.column(2)]
-            offsets = np.cumsum([0, *(len(h) for _, h in found)]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *(h for _, h in found)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _ in found], pa.int64()), grams], names=["doc_id", "text_hash", "n_words", "grams"])
+            n, keys = [], [np.empty(0, np.int64)]
+            for t in b.column(2):
+                at, sums, powers, a = suffix_starts(t.as_py(), memory)
+                n.append(len(a))
+                keys.append(np.unique(_keys(at, sums, powers)[1]))
+            offsets = np.cumsum([len(k) for k in keys]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "text_hash", "n_words", "keys"])
 
-    made = _narrow(docs).mapInArrow(run, "doc_id long, text_hash long, n_words long, grams array<long>")
-    return made.withColumn("uid", F.monotonically_increasing_id())  # frozen by writing the table
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, text_hash long, n_words long, keys array<long>").withColumn("uid", F.monotonically_increasing_id())  # frozen by writing the table
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _suffixes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """uid, pos, g, r1..r3, l0..l3: kept positions whose gram is in ``wanted`` (uid, w_id, w_hash, grams)."""
-    texts = _narrow(docs)
-    joined = texts.join(_sized(wanted), texts.doc_id.eqNullSafe(F.col("w_id")) & (texts.text_hash == F.col("w_hash"))).select("uid", "text", "grams")
+def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """uid, s, r, h: windows of MIN_WORDS words around the suffixes in ``wanted`` (uid, w_id, w_hash, keys); r and h are fingerprints."""
+    size = wanted.agg(F.sum(8 * F.size("keys") + 32)).first()[0] or 0
+    named = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
+    joined = docs.join(named, same_row(docs, wanted)).select(wanted["uid"], wanted["keys"], F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _WordHashes()
-        for b in batches:
-            parts = []
-            for uid, text, grams in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                t = text.as_py()
-                at, h = minimisers(t, memory)
-                keep = np.isin(h, np.asarray(grams.values))
-                at, h = at[keep], h[keep]
-                a = word_hashes(t, memory)
-                sums, powers = prefix_sums(a)
-                right = [stretches(sums, powers, at, np.minimum(at + k, len(a))) for k in _RIGHT[1:]]
-                left = [stretches(sums, powers, np.maximum(at - k, 0), at) for k in _LEFT]
-                parts.append((np.full(len(at), uid), at, h, *right, *left))
-            cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid", "pos", "g", "r1", "r2", "r3", "l0", "l1", "l2", "l3"])
-
-    return joined.mapInArrow(run, "uid long, pos long, g long, r1 long, r2 long, r3 long, l0 long, l1 long, l2 long, l3 long")
-
-
-def _neighbours(suffixes: DataFrame, order: list[str]) -> DataFrame:
-    """uid_a, pos_a, uid_b, pos_b: neighbours in the given order with one gram, from different texts.
-
-    A global range sort: a gram that fills several partitions is no single task's. Each partition
-    also returns its edge rows, which are compared with the next partition's in a small second step.
-    """
-    n = len(order)
-    keys = [*order, "uid", "pos"]
-    spread = suffixes.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+        done: set[int] = set()  # a repeated row comes once a task
+        parts: list[tuple] = []
+        held = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = other = None  # the row before, and the latest row of another text than that one's
-
-        def packed(rows):
-            cols = list(zip(*rows)) or [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid_a", "pos_a", "uid_b", "pos_b", "g", "edge"])
+        def packed() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64)] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid", "s", "r", "h"])
 
-        first = True
         for b in batches:
-            out = []
-            for g, uid, pos in zip(b.column(0).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist()):
-                if first:
-                    out.append((uid, pos, -1, -1, g, 1))
-                    first = False
-                if last is not None and last[1] != uid:
-                    other = last
-                last = (g, uid, pos)
-                if other is not None and other[0] == g:
-                    out.append((other[1], other[2], uid, pos, g, 0))
-            yield packed(out)
-        if last is not None:
-            yield packed([(last[1], last[2], -1, -1, last[0], 2)])
-
-    found = written(spread.mapInArrow(run, "uid_a long, pos_a long, uid_b long, pos_b long, g long, edge long"), "sfx-neighbours")
-    ends = found.where("edge > 0").select("g", F.col("uid_a").alias("u"), F.col("pos_a").alias("p"), "edge")
-    # Two rows a partition at most: a last row meets the first rows of its gram.
-    meet = ends.where("edge = 2").select("g", F.col("u").alias("uid_a"), F.col("p").alias("pos_a")).join(ends.where("edge = 1").select("g", F.col("u").alias("uid_b"), F.col("p").alias("pos_b")), "g").where("uid_a <> uid_b")
-    cols = ["uid_a", "pos_a", "uid_b", "pos_b"]
-    return found.where("edge = 0").select(*cols).unionByName(meet.select(*cols))
-
-
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, n_words, other_doc_id, other_start (words from 0): maximal matches, from both sides' view."""
+            for uid, keys, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if uid in done:
+                    continue
+                done.add(uid)
+                at, sums, powers, _ = suffix_starts(text.as_py(), memory)
+                kept, r = _keys(at, sums, powers)
+                own = np.searchsorted(kept, at)
+                s = np.flatnonzero(np.isin(r, np.asarray(keys.values))[own])
+                parts.append((np.full(len(s), uid), s, r[own[s]], stretches(sums, powers, s, s + MIN_WORDS)))
+                held += len(s)
+                if held >= OUT_ROWS:
+                    yield packed()
+                    parts, held = [], 0
+        yield packed()
+
+    return joined.mapInArrow(run, "uid long, s long, r long, h long")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_words (a maximal repeated stretch, words from 0), match_start, match_words, other_doc_id, other_start.
+
+    The last four name the longest part of the stretch that stands in one other text.
+    """
     table = written(anchors(docs), "sfx-anchors")
-    firsts = table.groupBy("text_hash", "n_words").agg(F.min("uid").alias("first"))
-    reps = table.join(firsts.select(F.col("first").alias("uid")), "uid", "left_semi")
-
-    # 1. Grams of two texts or more, by text.
-    every = reps.select("uid", F.explode("grams").alias("g"))
-    often = every.groupBy("g").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("g")
-    shared = every.join(often, "g").groupBy("uid").agg(F.collect_set("g").alias("grams"))
-    names = written(table.select("uid", "doc_id", "text_hash"), "sfx-names")
+    names = written(table.drop("keys"), "sfx-names")
+    firsts = names.groupBy("text_hash", "n_words").agg(F.min("uid").alias("first"), F.min_by("doc_id", "uid").alias("first_id"), F.max_by("doc_id", "uid").alias("last_id"), F.count(F.lit(1)).alias("c"))
+    copied = written(firsts.where(f"c > 1 and n_words >= {MIN_WORDS}"), "sfx-copied")
+    copies = written(names.join(copied, ["text_hash", "n_words"]).select("doc_id", "uid", "first", "n_words", F.when(F.col("uid") == F.col("first"), F.col("last_id")).otherwise(F.col("first_id")).alias("other_doc_id")), "sfx-copies")
+
+    # 1. Suffixes that share their first words with one of another text. Of equal texts the first stands for all.
+    single = table.join(sized(copies.where("uid <> first").select("uid")), "uid", "left_anti").select("uid", F.explode("keys").alias("r"))
+    often = single.groupBy("r").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("r")
+    shared = single.join(often, "r").groupBy("uid").agg(F.collect_list("r").alias("keys"))
     wanted = written(shared.join(names.select("uid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")), "uid"), "sfx-wanted")
-    # A row that equals another in id and text comes once.
-    suffixes = written(_suffixes(docs, wanted).distinct(), "sfx-suffixes")
-
-    # 2. Neighbours in both orders, one extension for each pair of texts and diagonal.
-    right = _neighbours(suffixes, ["g", "r1", "r2", "r3", "l0", "l1"])
-    left = _neighbours(suffixes, ["g", "l0", "l1", "l2", "l3", "r1"])
-    both = right.unionByName(left).select(*(F.when(F.col("uid_a") < F.col("uid_b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_a") for c in ("uid", "pos")), *(F.when(F.col("uid_a") < F.col("uid_b"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_b") for c in ("uid", "pos")))
-    pairs = written(both.groupBy("uid_a", "uid_b", (F.col("pos_a") - F.col("pos_b")).alias("diagonal")).agg(F.collect_set("pos_a").alias("at")), "sfx-pairs")
-    matches = _extend(docs, names, pairs, min_words)
-
-    # 3. Both views, and whole copies.
-    a, b = (names.select(F.col("uid").alias(f"uid_{x}"), F.col("doc_id").alias(f"id_{x}")) for x in "ab")
-    named = written(matches.join(a, "uid_a").join(b, "uid_b"), "sfx-matches")
-    view = lambda x, y: named.select(F.col(f"id_{x}").alias("doc_id"), F.col(f"start_{x}").alias("start"), "n_words", F.col(f"id_{y}").alias("other_doc_id"), F.col(f"start_{y}").alias("other_start"))
-    copies = table.join(firsts, ["text_hash", "n_words"]).where((F.col("uid") != F.col("first")) & (F.col("n_words") >= min_words)).select("doc_id", "first", "n_words")
-    copies = copies.join(names.select(F.col("uid").alias("first"), F.col("doc_id").alias("other_doc_id")), "first")
+    forget(table)
+
+    # 2. Extended to windows; those of two texts or more.
+    windows = written(_windows(docs, wanted), "sfx-windows")
+    forget(wanted)
+    met = windows.groupBy("h", "r").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min_by("s", "uid").alias("lo_s"), F.max_by("s", "uid").alias("hi_s")).where("lo < hi")
+    is_lo = F.col("uid") == F.col("lo")
+    hits = windows.join(met, ["h", "r"]).select("uid", "s", F.when(is_lo, F.col("hi")).otherwise(F.col("lo")).alias("other"), F.when(is_lo, F.col("hi_s")).otherwise(F.col("lo_s")).alias("other_s"))
+
+    # 3. Windows that follow one another are one stretch; those that also do in the other text are one match.
+    line = Window.partitionBy("uid").orderBy("s")
+    before = lambda c: F.lag(c).over(line)
+    follows = (before("s") + 1 == F.col("s")) & (before("other") == F.col("other")) & (before("other_s") + 1 == F.col("other_s"))
+    marked = hits.repartition("uid").dropDuplicates(["uid", "s"]).withColumn("stretch", F.col("s") - F.row_number().over(line)).withColumn("fresh", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
+    marked = marked.withColumn("match", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    matches = marked.groupBy("uid", "stretch", "match").agg(F.min("s").alias("at"), F.count(F.lit(1)).alias("c"), F.first("other").alias("other"), F.min("other_s").alias("other_s"))
+    longest = F.max_by(F.struct("at", "c", "other", "other_s"), F.struct(F.col("c"), -F.col("at"))).alias("m")
+    spans = matches.groupBy("uid", "stretch").agg(F.min("at").alias("start"), (F.sum("c") + MIN_WORDS - 1).alias("n_words"), longest)
+    spans = written(spans.select("uid", "start", "n_words", F.col("m.at").alias("match_start"), (F.col("m.c") + MIN_WORDS - 1).alias("match_words"), F.col("m.other").alias("other"), F.col("m.other_s").alias("other_start")), "sfx-spans")
+    forget(windows)
+
+    # 4. By ids, and whole copies.
+    mine, theirs = names.select("uid", "doc_id"), names.select(F.col("uid").alias("other"), F.col("doc_id").alias("other_doc_id"))
+    columns = ["doc_id", "start", "n_words", "match_start", "match_words", "other_doc_id", "other_start"]
+    parts = spans.join(sized(copies.where("uid = first").select("uid")), "uid", "left_anti").join(mine, "uid").join(theirs, "other").select(*columns)
     zero = F.lit(0).cast("long")
-    as_copy = copies.select("doc_id", zero.alias("start"), "n_words", "other_doc_id", zero.alias("other_start"))
-    as_first = copies.groupBy("first").agg(F.min("doc_id").alias("copy"), F.first("n_words").alias("n_words"), F.first("other_doc_id").alias("own")).select(F.col("own").alias("doc_id"), zero.alias("start"), "n_words", F.col("copy").alias("other_doc_id"), zero.alias("other_start"))
-    out = view("a", "b").unionByName(view("b", "a")).unionByName(as_copy).unionByName(as_first)
-    forget(wanted, suffixes)
-    return out
-
-
-def _extend(docs: DataFrame, names: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
-    """uid_a, start_a, uid_b, start_b, n_words: maximal runs of equal words through the given positions."""
-    named = written(pairs.select(F.col("uid_a").alias("uid")).unionByName(pairs.select(F.col("uid_b").alias("uid"))).distinct().join(names.select("uid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")), "uid"), "sfx-named")
-    texts = _narrow(docs)
-    found = texts.join(_sized(named), texts.doc_id.eqNullSafe(F.col("w_id")) & (texts.text_hash == F.col("w_hash"))).select("uid", "text")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _WordHashes()
-        for b in batches:
-            short = [(word_hashes(t.as_py(), memory) >> np.uint64(32)).astype(np.uint32).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary())], names=["uid", "w"])
-
-    words = written(found.mapInArrow(hashes, "uid long, w binary").dropDuplicates(["uid"]), "sfx-words")
-    both = pairs.join(words.select(F.col("uid").alias("uid_a"), F.col("w").alias("a")), "uid_a").join(words.select(F.col("uid").alias("uid_b"), F.col("w").alias("b")), "uid_b").select("uid_a", "uid_b", "diagonal", "at", "a", "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for ua, ub, d, at, a, b in zip(*(batch.column(i) for i in range(6))):
-                x, y, d = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32), d.as_py()
-                lo, hi = max(0, d), min(len(x), len(y) + d)
-                same = np.concatenate([[False], x[lo:hi] == y[lo - d : hi - d], [False]])
-                change = np.flatnonzero(same[1:] != same[:-1])
-                starts, ends = change[::2], change[1::2]
-                for k in {int(np.searchsorted(starts, p - lo, side="right")) - 1 for p in at.as_py()}:
-                    if k >= 0 and ends[k] - starts[k] >= min_words:
-                        s = lo + int(starts[k])
-                        out.append((ua.as_py(), s, ub.as_py(), s - d, int(ends[k] - starts[k])))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid_a", "start_a", "uid_b", "start_b", "n_words"])
-
-    return both.mapInArrow(run, "uid_a long, start_a long, uid_b long, start_b long, n_words long")
+    return parts.unionByName(copies.select("doc_id", zero.alias("start"), "n_words", zero.alias("match_start"), F.col("n_words").alias("match_words"), "other_doc_id", zero.alias("other_start")))
