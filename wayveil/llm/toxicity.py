@@ -1,9 +1,10 @@
 """A toxicity classifier regularised by counterfactuals.
 
-A logistic model over a document's distinct words. For labelled documents that name a group,
-the term is swapped for the others of its kind, and for a bounded share of the others a term
-is put in; the squared change of the logit is added to the loss. So mentioning a group, in
-itself, moves no score.
+A logistic model over a document's distinct words. In each labelled document that names a group,
+the term is swapped for every other of its kind and also taken out; into a share of the others
+every term of a kind is put. The squared changes of the logit are added to the loss. Swaps alone
+would only make all terms of a kind as bad as one of them is; with the term taken out, mentioning
+a group moves no score in itself.
 
 Only rows whose CRC-32 of the id is not divisible by five lend their labels, and at most
 ``TRAIN_ROWS`` of each class: a documented bound for fitting alone. Every document is scored,
@@ -81,14 +82,40 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def counterfactuals(keys: np.ndarray, doc: int, insert_every: int) -> list[tuple[list[int], list[int]]]:
-    """(terms taken out, terms put in) for a training document with these sorted word keys."""
+Change = tuple[list[int], list[int], float]  # terms taken out, terms put in, weight
+
+
+def counterfactuals(keys: np.ndarray, doc: int, insert_every: int) -> list[Change]:
+    """What to change in a training document with these sorted word keys; its weights add up to 1.
+
+    For each term it names, half the weight is on taking it out and half on the swaps.
+    """
     have = [[t for t in kind if _in(keys, t)] for kind in _IDENTITY_KEYS]
-    out = [([t], [kind[(kind.index(t) + k) % len(kind)]]) for kind, own in zip(_IDENTITY_KEYS, have) for t in own for k in (1, 2)]
-    if not out and doc % insert_every == 0:
-        kind = _IDENTITY_KEYS[doc // insert_every % len(_IDENTITY_KEYS)]
-        out = [([], [t]) for t in kind]
-    return out
+    named = sum(map(len, have))
+    if named:
+        out: list[Change] = []
+        for kind, own in zip(_IDENTITY_KEYS, have):
+            for t in own:
+                others = [u for u in kind if u != t]
+                out.append(([t], [], 0.5 / named))
+                # A word counts once, so swapping in what is there already only takes out.
+                out += [([t], [u] if u not in own else [], 0.5 / named / len(others)) for u in others]
+        return out
+    if doc % insert_every:
+        return []
+    kind = _IDENTITY_KEYS[doc // insert_every % len(_IDENTITY_KEYS)]
+    return [([], [t], 1 / len(kind)) for t in kind]
+
+
+def change_form(changes: list[list[Change]], terms: np.ndarray) -> np.ndarray:
+    """The matrix A for which w A w is the mean over documents of the weighted squared changes; w: weights of ``terms`` (sorted)."""
+    form = np.zeros((len(terms), len(terms)))
+    changed = [c for c in changes if c]
+    for own in changed:
+        for out, into, weight in own:
+            at, sign = np.searchsorted(terms, out + into), np.array([-1.0] * len(out) + [1.0] * len(into))
+            form[np.ix_(at, at)] += weight * np.outer(sign, sign)
+    return form / max(1, len(changed))
 
 
 def _in(keys: np.ndarray, k: int) -> bool:
@@ -115,10 +142,8 @@ def fit_arrays(docs: list[np.ndarray], y: np.ndarray, steps: int = 300, l2: floa
     known = vocab[at] == flat
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[known]
     col = at[known]
-    swaps = [(i, out, into) for i, d in enumerate(docs) for out, into in counterfactuals(d, i, insert_every)]
-    s_row = np.array([k for k, (_, out, into) in enumerate(swaps) for _ in out + into], dtype=np.int64)
-    s_col = np.searchsorted(vocab, np.array([t for _, out, into in swaps for t in out + into], dtype=np.int64))
-    s_sign = np.array([s for _, out, into in swaps for s in [-1.0] * len(out) + [1.0] * len(into)])
+    form = change_form([counterfactuals(d, i, insert_every) for i, d in enumerate(docs)], terms)
+    at_terms = np.searchsorted(vocab, terms)
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, b = np.zeros(len(vocab)), 0.0
     m, v = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
@@ -126,9 +151,7 @@ def fit_arrays(docs: list[np.ndarray], y: np.ndarray, steps: int = 300, l2: floa
         logit = b + np.bincount(row, w[col], len(docs))
         err = share * (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y)
         grad = np.bincount(col, err[row], len(vocab)) + l2 * w
-        if len(swaps):
-            change = np.bincount(s_row, s_sign * w[s_col], len(swaps))
-            grad += 2 * swap_weight / len(swaps) * np.bincount(s_col, s_sign * change[s_row], len(vocab))
+        grad[at_terms] += 2 * swap_weight * (form @ w[at_terms])
         g = np.append(grad, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -147,6 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             keys = [sorted({_key(w) for w in text_words(t.as_py())}) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "toxic", "keys"])
 
+    # One text for each id, the least of them: a repeated id must not pass the bound.
+    pool = pool.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     got = pool.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, keys array<long>").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), range(got.num_rows)))
     keys = got["keys"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
