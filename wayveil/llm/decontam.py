@@ -23,20 +23,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, words, written
+from .common import forget, sized, without, words, written
 
 SHINGLE = 5
 BITS = 64
 RADIUS = 20
 BLOCKS = 7  # so one block differs in at most RADIUS // BLOCKS bits
 MIN_PERCENT = 80
-#: Rows up to which a counted side is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def _sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table: counting it is cheap) marked for broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= limit else df
 
 
 def folded(text: Column) -> Column:
@@ -114,7 +107,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_PER
     # 1. Positions of benchmark shingles in documents.
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded(F.col("text")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     rows = keyed.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
-    vocab = _sized(vocabulary)
+    vocab = sized(vocabulary)
     spread = F.arrays_zip(*[F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias(f"w{k}") for k in range(SHINGLE)])
     at = rows.select("doc_id", "text_hash", F.size("w").alias("n_doc"), F.posexplode(spread).alias("pos", "g")).where("g.w4 is not null")
     at = at.select("doc_id", "text_hash", "n_doc", "pos", F.xxhash64(*[F.col(f"g.w{k}") for k in range(SHINGLE)]).alias("h"))
@@ -130,7 +123,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_PER
     spans = starts.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("n", "a", "b")).alias("spans"))
     spans = written(spans, "bench-spans")
     marked = spans.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "spans")
-    some = keyed.join(_sized(marked), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).select("doc_id", "text_hash", words(F.col("text")).alias("w"), "spans").dropDuplicates(["doc_id", "text_hash"])
+    some = keyed.join(sized(marked), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).select("doc_id", "text_hash", words(F.col("text")).alias("w"), "spans").dropDuplicates(["doc_id", "text_hash"])
     each = some.withColumn("all", shingle_list(F.col("w"))).select("doc_id", "text_hash", "w", "all", F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.transform(F.sequence(s["a"], s["b"]), lambda p: F.struct(s["n"].alias("n"), p.alias("start"))))))).alias("x"))
     whole = F.when(F.col("x.n") >= SHINGLE, F.slice("all", F.col("x.start") + 1, F.greatest(F.col("x.n") - SHINGLE + 1, F.lit(1)))).otherwise(shingle_list(F.slice("w", F.col("x.start") + 1, F.col("x.n"))))
     windows = written(each.select("doc_id", "text_hash", F.col("x.n").alias("n"), F.col("x.start").alias("start"), whole.alias("sh")), "bench-windows")
@@ -140,13 +133,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_PER
     item_marks = fingerprints(items.select("item_key", "n", F.explode("sh").alias("x")), ["item_key", "n"])
     targets = written(item_marks.select("item_key", "n", F.col("simhash").alias("item_mark"), F.explode(near_blocks()).alias("b")), "bench-blocks")
     probes = marks.select("doc_id", "text_hash", "n", "start", "simhash", F.explode(own_blocks()).alias("b"))
-    near = probes.join(_sized(targets), ["n", "b"]).withColumn("hamming", F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_mark")))).where(F.col("hamming") <= RADIUS)
+    near = probes.join(sized(targets), ["n", "b"]).withColumn("hamming", F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_mark")))).where(F.col("hamming") <= RADIUS)
     near = near.select("doc_id", "text_hash", "n", "start", "item_key", "hamming").distinct()
 
     # 4. Exact weighted similarity of what is left.
     w = windows.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("n").alias("w_n"), F.col("start").alias("w_start"), F.array_distinct("sh").alias("ws"))
     both = near.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")) & (F.col("n") == F.col("w_n")) & (F.col("start") == F.col("w_start")))
-    both = both.join(_sized(items.select("item_key", "item_id", F.array_distinct("sh").alias("is"))), "item_key")
+    both = both.join(sized(items.select("item_key", "item_id", F.array_distinct("sh").alias("is"))), "item_key")
     shared = _weight(F.array_intersect("ws", "is"))
     checked = both.withColumn("shared", shared).withColumn("all", _weight(F.col("ws")) + _weight(F.col("is")) - F.col("shared")).where(100 * F.col("shared") >= min_percent * F.col("all"))
     ratio = F.col("shared") / F.col("all")
@@ -157,6 +150,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_PER
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which a window repeats a benchmark item."""
-    leaks = written(find_leaks(docs, benchmark).select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).distinct(), "leaking")
-    return docs.join(_sized(leaks), F.col("doc_id").cast("long").eqNullSafe(F.col("l_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("l_hash")), "left_anti")
+    """``docs`` without the documents in which a window repeats a benchmark item; columns of any name are kept as they are."""
+    return without(docs, find_leaks(docs, benchmark))

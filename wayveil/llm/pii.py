@@ -14,10 +14,12 @@ not arise: all scores are whole numbers and all orders end in a position.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, forget, written
+from .common import SPACE, forget, same_row, written
 
 KINDS = ("email", "ip", "card", "phone")
 # What the data contract fixes, in forms that match the same spans without backtracking. A start
@@ -35,6 +37,8 @@ _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 MIN_SEEDS = 3  # distinct known instances a pattern needs
 MIN_PATTERN = 700  # per mille of its instances that are of the kind (one unknown is added to each pattern)
 MIN_INSTANCE = 900  # per mille at which a candidate is taken for known
+#: Bytes of spans up to which they are broadcast to the scan of texts; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
 CONTEXT = 80  # characters on either side that context words come from
 
 _SPAN = "array<struct<kind:string,s:int,e:int,m:string,l:array<string>,r:string>>"
@@ -198,21 +202,23 @@ def redact_text(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
 
-def redact(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with all columns, personal data in ``text`` replaced and ``n_chars`` (if present) recounted.
 
     Spans the fixed patterns find are replaced where the text is read. Only documents that the
     graph adds spans to are joined: broadcast if they are few (counted first), else by shuffle.
+    Columns of any name are kept as they are.
     """
-    extra = written(extract(docs).where(F.size("extra") > 0).select(F.col("doc_id").alias("x_id"), F.col("text_hash").alias("x_hash"), "extra").distinct(), "pii-extra")
-    few = extra.count() <= broadcast_rows
-    text = F.coalesce("text", F.lit(""))
-    joined = docs.join(F.broadcast(extra) if few else extra, F.col("doc_id").cast("long").eqNullSafe(F.col("x_id")) & (F.xxhash64(text) == F.col("x_hash")), "left")
-    none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
+    named = extract(docs).where(F.size("extra") > 0).select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.col("extra").alias("found")).distinct()
+    extra = written(named, "pii-extra")
+    size = extra.agg(F.sum(F.size("found") * 40 + 16)).first()[0] or 0
+    text, none = F.coalesce(docs["text"], F.lit("")), F.array().cast("array<struct<kind:string,s:int,e:int>>")
     base = [F.transform(c, lambda x: F.struct(x["kind"], x["s"], x["e"])) for c in base_spans(text).values()]
-    every = F.array_sort(F.transform(F.concat(*base, F.coalesce("extra", none)), lambda x: F.struct(x["s"], x["e"], x["kind"])))
-    out = joined.withColumn("_spans", every)
-    out = out.withColumn("text", F.when(F.size("_spans") > 0, redact_text(text, F.col("_spans"))).otherwise(F.col("text")))
+    every = F.array_sort(F.transform(F.concat(*base, F.coalesce(extra["found"], none)), lambda x: F.struct(x["s"], x["e"], x["kind"])))
+    spans = next(n for n in ("spans" + "_" * k for k in count()) if n not in docs.columns)
+    joined = docs.join(F.broadcast(extra) if size <= BROADCAST_BYTES else extra, same_row(docs, extra), "left").select(*[docs[c] for c in docs.columns], every.alias(spans))
+    new = {"text": F.when(F.size(spans) > 0, redact_text(F.coalesce("text", F.lit("")), F.col(spans))).otherwise(F.col("text"))}
+    out = joined.withColumns(new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(spans)
