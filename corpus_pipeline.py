@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the
 last return the columns of ``documents``. Side tables (labels, benchmark) come from ``sf_dir``.
+
+Null and empty texts, having no words, fail the base rules of the first stage. Null ids pass like
+others and lose against any id in a linked group; a row that is repeated whole stays once, as does
+the smallest text hash where one id has several linked texts. Rows are told apart by id and text
+alone, so further columns of any name go through unchanged. An empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -12,19 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayveil.llm import decontam, jaccard, packing, pii, quality
-from wayveil.llm.common import table, written
+from wayveil.llm.common import table, without, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep: those rejected, counted first, are joined against."""
-    weights = quality.fit(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    verdict = quality.judge(docs, weights).where(~F.col("kept")).select(F.col("doc_id").alias("q_id"), F.col("text_hash").alias("q_hash")).distinct()
-    rejected = written(verdict, "rejected")
-    rejected = F.broadcast(rejected) if rejected.count() <= jaccard.BROADCAST_ROWS else rejected
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("q_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("q_hash"))
-    return docs.join(rejected, same, "left_anti")
+    return without(docs, quality.rules(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
