@@ -207,3 +207,71 @@ def test_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("cleaned").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert spark.table("cleaned").count() == 1
+
+
+def test_runs_draw_fresh_noise(spark):
+    p = {"id": 1, "eps": 1.0, "tl": 0, "tu": 1}
+    seeds = []
+
+    def mech(points, box, p, seed):
+        seeds.append(seed)
+        return spark.createDataFrame([], "pub_id string, t int, x double, y double, u double")
+
+    for run in (1, 1, 2):
+        harness.run_once(toy(spark), BOX10, p, run, mech)
+    harness.run_once(toy(spark), BOX10, p, 1, mech, seed="fixed")
+    assert len(set(seeds[:3])) == 3 and min(map(len, seeds[:3])) == 64 and seeds[3] == "fixed"
+
+
+def test_baseline_experiment(spark, tmp_path, monkeypatch):
+    from wayveil.plans import cli
+
+    points = readers.random_points(spark, 40, 16, BOX10, "b")
+    points.select(F.col("traj_id").cast("string").alias("traj_id"), F.expr("timestamp_seconds(t * 600)").alias("ts"), F.lit("2008-02-02").cast("date").alias("date"), "x", "y").write.csv(str(tmp_path / "p.csv"), header=True)
+    monkeypatch.setattr(harness, "BASELINE_COMBINATIONS", [{"id": 1, "ep": 2.0, "m": 3, "tl": 0, "tu": 3}])
+    cli.main(["baseline", str(tmp_path / "p.csv"), str(tmp_path / "out"), "--runs", "2"])
+    stats = spark.read.parquet(str(tmp_path / "out/stats.parquet")).collect()
+    assert sorted(r.run for r in stats) == [1, 2] and {r.m for r in stats} == {3}
+    qd = spark.read.parquet(str(tmp_path / "out/query_distortion.parquet"))
+    assert {r.t_range for r in qd.select("t_range").distinct().collect()} <= {1, 2, 3, 4}
+
+
+def test_emission_spends_filler_first():
+    rows = [([0], 9), ([1], 2), ([2], 1)]
+    out = baseline.emit(rows, [1000], 40, 0.3, "s")
+    first = [c for _, c in out].index(9)
+    assert first > 0 and all(2 <= c < 9 for _, c in out[:first]) and sum(c for _, c in out[:first]) <= 40
+    assert baseline.emit(rows, [1000], 40, 0.3, "s") == out != baseline.emit(rows, [1000], 40, 0.3, "t")
+
+
+def test_entries_that_clean(spark, tmp_path):
+    from wayveil.plans import cli
+
+    day = [dt.datetime(2008, 2, 2, 8, 30) + dt.timedelta(minutes=10 * k) for k in range(37)]
+    for car, days in ((1, 2), (2, 1)):
+        lines = [f"{car},{t + dt.timedelta(days=d)},{116.5 + 0.001 * (i % 9)},{39.9 + 0.001 * (i % 7)}" for d in range(days) for i, t in enumerate(day)]
+        (tmp_path / f"{car}.txt").write_text("\n".join(lines) + "\n")
+    cli.clean_logs(spark, str(tmp_path / "*.txt"), str(tmp_path / "points"), (1, 3))
+    count = {n: readers.point_table(spark, str(tmp_path / f"points/{n}.csv")).count() for n in (1, 3)}
+    assert count == {1: 74, 3: 111}
+    one = cli.one_trajectory(readers.point_table(spark, str(tmp_path / "points/3.csv")), "2_2008-02-02").collect()
+    assert len(one) == 37 and [r.ts for r in one] == sorted(r.ts for r in one)
+    (tmp_path / "c.tsv").write_text("".join(f"{u}\t2010-10-{d:02d}T10:00:00Z\t30.2\t-97.7\t{d}\n" for u, ds in ((1, (1, 2, 3, 4)), (2, (2, 3))) for d in ds))
+    cli.write_streaks(spark, str(tmp_path / "c.tsv"), str(tmp_path / "streaks"), 2)
+    assert readers.results(spark, str(tmp_path / "streaks/2.csv")).count() == 6
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    a, b = rnd.normal(size=(90, 6)) * 1e4, rnd.normal(size=(70, 6)) * 1e4
+    a[3] = b[5]
+    a[4] = a[7]
+    monkeypatch.setattr(metrics, "BLOCK_BYTES", 600)
+    pub = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "idx long, vec array<double>")
+    org = spark.createDataFrame([(v.tolist(),) for v in b], "vec array<double>")
+    got = {r.idx: r.d for r in metrics.individual_hausdorff(pub, org).collect()}
+    want = np.sqrt(((a[:, None] - b) ** 2).sum(2)).min(1)
+    assert got.keys() == set(range(90)) and np.allclose([got[i] for i in range(90)], want, rtol=1e-12, atol=1e-9)
+    assert metrics.individual_hausdorff(pub.limit(0), org).count() == metrics.individual_hausdorff(pub, org.limit(0)).count() == 0

@@ -79,13 +79,21 @@ def unflatten(vectors: DataFrame, key: str = "traj_id") -> DataFrame:
     return vectors.select(key, F.posexplode(pairs).alias("t", "p")).select(key, "t", "p.x", "p.y")
 
 
-def taxi_to_points(fixes: DataFrame, epsg: int = 32650, required: int = 37, days: int = 3, minutes: int = 10) -> DataFrame:
-    """The whole way: outliers, slots, daytime window, first fix a slot, complete days, projection, first days."""
+def clean_fixes(fixes: DataFrame, epsg: int = 32650, required: int = 37, minutes: int = 10) -> DataFrame:
+    """id, ts (slot), date, x, y: outliers, slots, daytime window, first fix a slot, complete days, projection.
+
+    Of fixes at one time in a slot the first file's stays, then by longitude and latitude: rows of a table have no order.
+    """
     df = geo.guarded(iqr_filter(fixes)).withColumn("slot", round_slot(F.col("ts"), minutes))
-    df = first_in_slot(time_window(df), ["id", "slot"], ["ts", "lon", "lat"]).withColumn("date", F.to_date("slot"))
+    order = ["ts", *(["file"] if "file" in fixes.columns else []), "lon", "lat"]
+    df = first_in_slot(time_window(df), ["id", "slot"], order).withColumn("date", F.to_date("slot"))
     x, y = geo.forward(F.col("lon"), F.col("lat"), epsg)
-    df = complete_days(df, required).select("id", F.col("slot").alias("ts"), "date", x.alias("x"), y.alias("y"))
-    return first_days(df, days).select("traj_id", "ts", "date", "x", "y")
+    return complete_days(df, required).select("id", F.col("slot").alias("ts"), "date", x.alias("x"), y.alias("y"))
+
+
+def taxi_to_points(fixes: DataFrame, epsg: int = 32650, required: int = 37, days: int = 3, minutes: int = 10) -> DataFrame:
+    """The whole way, of the first days."""
+    return first_days(clean_fixes(fixes, epsg, required, minutes), days).select("traj_id", "ts", "date", "x", "y")
 
 
 # Check-ins.

@@ -213,9 +213,9 @@ res as (select t, greatest(10, trunc(0.25 * ceil(sqrt({n} * {cfg.eps!r}::double
 rs as (select *, (xu - xl) / m1 as sx, (yu - yl) / m1 as sy from res, box),
 h1 as (select traj_id, t, x, y, floor((x - xl) / sx)::int as i1, floor((y - yl) / sy)::int as j1 from pts join rs using (t)),
 c1 as (select t, i1, j1, count(*) as c from h1 group by all),
-l1 as (select g.*, coalesce(c, 0)::double{noisy(cfg.eps1, "'l1|' || g.t::varchar || '|' || g.i1::varchar || '|' || g.j1::varchar")} as n1 from (select rs.*, i.i::int as i1, j.j::int as j1 from rs, range(1000) i(i), range(1000) j(j) where i.i < m1 and j.j < m1) g left join c1 using (t, i1, j1)),
+l1 as (select g.*, coalesce(c, 0)::double{noisy(cfg.eps1, "'l1|' || g.t::varchar || '|' || g.i1::varchar || '|' || g.j1::varchar")} as n1 from (select *, unnest(range(m1))::int as j1 from (select *, unnest(range(m1))::int as i1 from rs)) g left join c1 using (t, i1, j1)),
 l1m as (select *, ceil(sqrt(greatest(1.0::double, n1 * {cfg.eps2!r}::double) / ({cfg.c!r}::double / 2)))::int as m2 from l1),
-leaf as (select l1m.*, i.i::int as i2, j.j::int as j2, xl + i1 * sx + i.i * (sx / m2) as lx, yl + j1 * sy + j.j * (sy / m2) as ly from l1m, range(200) i(i), range(200) j(j) where i.i < m2 and j.j < m2),
+leaf as (select *, xl + i1 * sx + i2 * (sx / m2) as lx, yl + j1 * sy + j2 * (sy / m2) as ly from (select *, unnest(range(m2))::int as j2 from (select *, unnest(range(m2))::int as i2 from l1m))),
 h2 as (select traj_id, h1.t, h1.i1, h1.j1, greatest(0, least(m2 - 1, floor((x - (xl + h1.i1 * sx)) / (sx / m2))::int)) as i2, greatest(0, least(m2 - 1, floor((y - (yl + h1.j1 * sy)) / (sy / m2))::int)) as j2 from h1 join l1m on h1.t = l1m.t and h1.i1 = l1m.i1 and h1.j1 = l1m.j1),
 c2 as (select t, i1, j1, i2, j2, count(*) as c from h2 group by all),
 l2 as (select leaf.*, coalesce(c, 0)::double{noisy(cfg.eps2, "'l2|' || leaf.t::varchar || '|' || leaf.i1::varchar || '|' || leaf.j1::varchar || '|' || leaf.i2::varchar || '|' || leaf.j2::varchar")} as n2 from leaf left join c2 using (t, i1, j1, i2, j2)),
@@ -227,22 +227,22 @@ asg as (select traj_id, h2.t, cell_id as area_id from h2 join cell on h2.t = cel
 
 PLAIN = G.GridConfig(eps=20.0, randomize=False)
 NOISY = G.GridConfig(eps=20.0, seed="g")
-FIRST2 = "select traj_id, t, x, y from f1 where t <= 1"
+EVERY = "select traj_id, t, x, y from f1"
 
 
-def _first2(spark, d):
-    return f1(spark, d).where("t <= 1").select("traj_id", "t", "x", "y")
+def _every(spark, d):
+    return f1(spark, d).select("traj_id", "t", "x", "y")
 
 
 def _levels(spark, d, cfg):
-    pts = _first2(spark, d)
+    pts = _every(spark, d)
     box = box_of(pts)
     res = G.resolutions(pts, box, cfg)
     located = G.locate_l1(pts, res, box)
     return box, res, located, G.l1_cells(located, res, cfg)
 
 
-@query(f"with {F1}, {grid_sql(PLAIN, FIRST2)} select t, i1, j1, n1 from l1")
+@query(f"with {F1}, {grid_sql(PLAIN, EVERY)} select t, i1, j1, n1 from l1")
 def l1_histogram_dense(spark, d):
     return _levels(spark, d, PLAIN)[3].select("t", "i1", "j1", "n1")
 
@@ -256,40 +256,40 @@ def l1_resolution_policies(spark, d):
     return spark.createDataFrame(rows, "t int, eps double, m1_sensitive int, m1_agnostic int")
 
 
-@query(f"with {F1}, {grid_sql(PLAIN, FIRST2)} select t, i1, j1, i2, j2, round(lx, 4) as xl, round(lx + sx / m2, 4) as xu, round(ly, 4) as yl, round(ly + sy / m2, 4) as yu from leaf")
+@query(f"with {F1}, {grid_sql(PLAIN, EVERY)} select t, i1, j1, i2, j2, round(lx, 4) as xl, round(lx + sx / m2, 4) as xu, round(ly, 4) as yl, round(ly + sy / m2, 4) as yu from leaf")
 def l2_leaf_geometry(spark, d):
     box, *_, l1 = _levels(spark, d, PLAIN)
     return G.leaves(l1, box).select("t", "i1", "j1", "i2", "j2", *[F.round(c, 4).alias(c) for c in ("xl", "xu", "yl", "yu")])
 
 
-@query(f"with {F1}, {grid_sql(PLAIN, FIRST2)} select t, i1, j1, i2, j2, n2 from l2")
+@query(f"with {F1}, {grid_sql(PLAIN, EVERY)} select t, i1, j1, i2, j2, n2 from l2")
 def l2_histogram(spark, d):
     box, _, located, l1 = _levels(spark, d, PLAIN)
     return G.l2_cells(located, l1, box, PLAIN).select("t", "i1", "j1", "i2", "j2", "n2")
 
 
-@query(f"with {F1}, {grid_sql(NOISY, FIRST2)} select t, i1, j1, i2, j2, round(n1, 6) as n1, round(n2, 6) as n2, round(cnt, 6) as cnt from inf")
+@query(f"with {F1}, {grid_sql(NOISY, EVERY)} select t, i1, j1, i2, j2, round(n1, 6) as n1, round(n2, 6) as n2, round(cnt, 6) as cnt from inf")
 def constraint_inference_keyed_noise(spark, d):
     box, _, located, l1 = _levels(spark, d, NOISY)
     out = G.infer(G.l2_cells(located, l1, box, NOISY), NOISY)
     return out.select("t", "i1", "j1", "i2", "j2", r6("n1").alias("n1"), r6("n2").alias("n2"), r6("cnt").alias("cnt"))
 
 
-@query(f"with {F1}, {grid_sql(PLAIN, FIRST2)} select t, cell_id, round(cx, 4) as cx, round(cy, 4) as cy, round(cnt, 6) as cnt from cell")
+@query(f"with {F1}, {grid_sql(PLAIN, EVERY)} select t, cell_id, round(cx, 4) as cx, round(cy, 4) as cy, round(cnt, 6) as cnt from cell")
 def cells_filtered(spark, d):
-    pts = _first2(spark, d)
+    pts = _every(spark, d)
     return G.build(pts, box_of(pts), PLAIN).cells.select("t", "cell_id", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), r6("cnt").alias("cnt"))
 
 
-@query(f"with {F1}, {grid_sql(PLAIN, FIRST2)} select t, count(*) as cells, count(distinct cell_id) as areas, round(sum(cnt), 6) as cnt from cell group by t")
+@query(f"with {F1}, {grid_sql(PLAIN, EVERY)} select t, count(*) as cells, count(distinct cell_id) as areas, round(sum(cnt), 6) as cnt from cell group by t")
 def grid_summaries(spark, d):
-    pts = _first2(spark, d)
+    pts = _every(spark, d)
     return analysis.grid_summary(G.build(pts, box_of(pts), PLAIN).cells).withColumn("cnt", r6("cnt"))
 
 
-@query(f"with {F1}, {grid_sql(PLAIN, FIRST2)} select traj_id, t, area_id from asg")
+@query(f"with {F1}, {grid_sql(PLAIN, EVERY)} select traj_id, t, area_id from asg")
 def area_assignment(spark, d):
-    pts = _first2(spark, d)
+    pts = _every(spark, d)
     return G.build(pts, box_of(pts), PLAIN).assigned
 
 
@@ -383,22 +383,74 @@ def postprocess_sampled_uniform(spark, d):
     return _post(spark, d, True, True)
 
 
-@query(f"""with {F1}, {grid_sql(PLAIN, FIRST2)}, cen as (select t, cell_id as area_id, cx as ax, cy as ay from cell where cell_id < 5),
+@query(f"""with {F1}, {grid_sql(PLAIN, EVERY)}, cen as (select t, cell_id as area_id, cx as ax, cy as ay from cell where cell_id < 5),
 best as (select cell.t, cell.cell_id, cell.cnt, cell.cx, cell.cy, arg_min(area_id, struct_pack(d := (cell.cx - ax) * (cell.cx - ax) + (cell.cy - ay) * (cell.cy - ay), i := area_id)) as area_id from cell join cen using (t) group by all)
 select t, area_id, round(sum(greatest(cnt, 0.01) * cx) / sum(greatest(cnt, 0.01)), 4) as ax, round(sum(greatest(cnt, 0.01) * cy) / sum(greatest(cnt, 0.01)), 4) as ay from best group by t, area_id""")
 def cluster_one_lloyd_step(spark, d):
-    pts = _first2(spark, d)
+    pts = _every(spark, d)
     cells = G.build(pts, box_of(pts), PLAIN).cells
     centres = cells.where("cell_id < 5").select("t", F.col("cell_id").alias("area_id"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
     out = cluster.move_centres(cluster.assign_cells(cells, centres))
     return out.select("t", "area_id", F.round("ax", 4).alias("ax"), F.round("ay", 4).alias("ay"))
 
 
-@query()
+def _lloyd_sql(k: int, seed: str, steps: int = 100) -> str:
+    """CTE named: cells with the area and centre that Lloyd's steps end in. It needs ``with recursive``."""
+    nearest = "struct_pack(d := (c.cx - l.ax) * (c.cx - l.ax) + (c.cy - l.ay) * (c.cy - l.ay), i := l.area_id)"
+    race = f"-ln({uni(seed, "'init|' || t::varchar || '|' || cell_id::varchar")}) / greatest(cnt, 0.01)"
+    return f"""seedling as (select t, cx, cy, row_number() over (partition by t order by {race}, cell_id) - 1 as area_id from cell),
+lloyd as (select 0 as step, t, area_id, cx as ax, cy as ay from seedling where area_id < {k}
+ union all select step + 1, t, area_id, sum(w * cx) / sum(w), sum(w * cy) / sum(w) from (select l.step, c.t, c.cell_id, any_value(greatest(c.cnt, 0.01)) as w, any_value(c.cx) as cx, any_value(c.cy) as cy, arg_min(l.area_id, {nearest}) as area_id from cell c join lloyd l using (t) where l.step < {steps} group by l.step, c.t, c.cell_id) group by step, t, area_id),
+best as (select c.t, c.cell_id, arg_min(struct_pack(a := l.area_id, x := l.ax, y := l.ay), {nearest}) as b from cell c join lloyd l using (t) where l.step = {steps} group by c.t, c.cell_id),
+named as (select cell.*, b.a as area_id, b.x as ax, b.y as ay, greatest(cnt, 0) as w, sqrt((cx - b.x) * (cx - b.x) + (cy - b.y) * (cy - b.y)) as off from cell join best using (t, cell_id))"""
+
+
+@query(f"with recursive {F1}, {grid_sql(PLAIN, EVERY)}, {_lloyd_sql(8, 'k')} select t, area_id, round(any_value(ax), 4) as cx, round(any_value(ay), 4) as cy, round(sum(cnt), 4) as cnt from named group by t, area_id")
 def cluster_areas_kmeans(spark, d):
     pts = f1(spark, d).select("traj_id", "t", "x", "y")
     cfg = G.GridConfig(20.0, randomize=False, n_clusters=8, seed="k")
-    return G.build(pts, box_of(pts), cfg).areas
+    return G.build(pts, box_of(pts), cfg).areas.select("t", "area_id", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "cnt")])
+
+
+def _clustered(spark, d, sample, uniform):
+    pts = f1(spark, d).where("t <= 1").select("traj_id", "t", "x", "y")  # the published interval
+    grid = G.GridConfig(40.0, randomize=False, seed="p", n_clusters=8)
+    paths, g = publish.publish(pts, box_of(pts), publish.PublishConfig(40.0, 0, 1, grid, randomize=False, seed="p"))
+    out = publish.post_process(paths, g, sample=sample, uniform=uniform, seed="z")
+    return out.select("pub_id", "t", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("u", 4).alias("u"))
+
+
+def _clustered_sql(chosen: str, x: str, y: str, u: str) -> str:
+    k = "pub_id || '|' || t::varchar"
+    draw = lambda c, lo, w: f"{lo} + {uni('z', chr(39) + c + '|' + chr(39) + ' || ' + k)} * ({w})"
+    x, y = (x or draw("x", "lx", "(lx + sx / m2) - lx")), (y or draw("y", "ly", "(ly + sy / m2) - ly"))
+    return f"""with recursive {F1}, {grid_sql(_grid_of(_config(40.0, 1, False)), 'select traj_id, t, x, y from f1 where t <= 1')}, {_lloyd_sql(8, 'p')},
+radii as (select t, area_id, case when count(*) = 1 then any_value({_DIAG}) when sum(w) > 0 then sum(w * off) / sum(w) else avg(off) end as area_u from named group by t, area_id),
+wide as (select traj_id, string_agg(n.area_id::varchar, '-' order by a.t) as path, count(*) as n from asg a join named n on a.t = n.t and a.area_id = n.cell_id group by traj_id),
+copies as (select path, row_number() over (partition by path) as copy from wide where n = 2),
+r as (select path || '#' || copy::varchar as pub_id, s.t::int as t, split_part(path, '-', s.t + 1)::int as area_id from copies, (values (0), (1)) s(t)),
+chosen as ({chosen})
+select pub_id, t, round({x}, 3) as x, round({y}, 3) as y, round({u}, 4) as u from chosen join radii using (t, area_id)"""
+
+
+_CLOSEST = "select r.pub_id, n.* from r join (select * from named qualify row_number() over (partition by t, area_id order by off, cell_id) = 1) n using (t, area_id)"
+_WEIGHED = "select r.pub_id, n.*, case when sum(w) over (partition by r.pub_id, t, area_id) > 0 then w else 1.0 end as weight from r join named n using (t, area_id)"
+_SAMPLED = f"""select * from ({_WEIGHED}) qualify row_number() over (partition by pub_id, t, area_id order by case when weight > 0 then ln(weight) - ln(-ln({uni('z', "'cell|' || pub_id || '|' || t::varchar || '|' || area_id::varchar || '|' || cell_id::varchar")})) else '-inf'::double end desc, cell_id) = 1"""
+
+
+@query(_clustered_sql(_CLOSEST, "", "", "area_u"))
+def postprocess_clustered_closest_uniform(spark, d):
+    return _clustered(spark, d, False, True)
+
+
+@query(_clustered_sql(_SAMPLED, "cx", "cy", _DIAG))
+def postprocess_clustered_sampled_center(spark, d):
+    return _clustered(spark, d, True, False)
+
+
+@query(_clustered_sql(_SAMPLED, "", "", "0.0::double"))
+def postprocess_clustered_sampled_uniform(spark, d):
+    return _clustered(spark, d, True, True)
 
 
 # Metrics.
@@ -517,16 +569,71 @@ def exponential_mechanism_keyed(spark, d):
     return noise.exponential_mechanism(c, "utility", 3.0, "e", "label").select("label", r6("score").alias("score"))
 
 
-@query(f"""with {F2}, {_BINS}, c as (select path, count(*) as c from pb group by path), v as (select path, round_even(c + {lap(1.0, 'b', "'hua|' || path")}, 0)::bigint as c from c),
+@query(f"""with {F2}, {_BINS}, c as (select path, count(*) as c from pb group by path), v as (select path, round_even(c + {lap(1.0, 'b', "'count|' || path")}, 0)::bigint as c from c),
 o as (select row_number() over (order by c desc, path) as rank, path, c, lead(c) over (order by c desc, path) as nxt from v where c > 0)
 select rank, c, nxt as next, round_even(1000.0::double * 0.5 * (exp(-1.0 * nxt) - exp(-1.0 * c)), 0)::bigint as filler from o where nxt is not null""")
 def noisy_counts_sorted(spark, d):
     return baseline.filler_per_gap(baseline.noisy_sorted(_binned(spark, d), 1.0, "b"), 1000.0, 1.0)
 
 
+def _moves(spark, d, phi):
+    """The cheapest single moves from the partition by label, and its parts."""
+    _, vectors, labels, centres = _label_parts(spark, d)
+    rows = baseline.single_moves(vectors, labels, centres, phi).collect()
+    return [baseline.Move(r.traj_id, r.source, r.target, r.loss) for r in rows], vectors, labels
+
+
+def _moves_sql(phi: int) -> str:
+    return f"{_VD}, mv as (select row_number() over (order by loss, traj_id, tgt) - 1 as i, * from (select a.traj_id, a.tgt, a.dist - b.dist as loss from vd a join vd b on a.traj_id = b.traj_id and b.tgt = b.src where a.tgt <> a.src order by loss, a.traj_id, a.tgt limit {phi}))"
+
+
+@query(f"""with {_moves_sql(12)}, sets as (select m.m, string_agg(traj_id::varchar || '>' || tgt::varchar, '+' order by i) as moves, sum(loss) as cost, list(traj_id order by i) as ids from range(1, 4096) m(m) join mv on (m.m >> i::int) & 1 = 1 group by m.m having count(*) = count(distinct traj_id))
+select row_number() over (order by cost, ids) as rank, moves, round(cost, 4) as cost from sets order by cost, ids limit 12""")
+def baseline_beam(spark, d):
+    moves, *_ = _moves(spark, d, 12)
+    rows = [(k, "+".join(f"{m.traj_id}>{m.target}" for m in s), sum(m.loss for m in s)) for k, s in enumerate(baseline.beam(moves, 12), 1)]
+    return spark.createDataFrame(rows, "rank long, moves string, cost double").withColumn("cost", F.round("cost", 4))
+
+
+@query(f"""with {_moves_sql(5)}, lab as (select c.c::int as cand_id, f1.*, coalesce(mv.tgt, f1.label)::int as k from f1 cross join range(6) c(c) left join mv on mv.i + 1 = c.c and mv.traj_id = f1.traj_id),
+mean as (select cand_id, k, t, avg(x) as x, avg(y) as y from lab group by all), every as (select c.c::int as cand_id, k.k::int as k, t.t::int as t from range(6) c(c), range(11) k(k), range(32) t(t))
+select cand_id, k, t, round(coalesce(x, 0), 4) as x, round(coalesce(y, 0), 4) as y from every left join mean using (cand_id, k, t)""")
+def baseline_moved_means(spark, d):
+    """The partition by label and five with one move; an eleventh cluster that nobody is in."""
+    moves, vectors, labels = _moves(spark, d, 5)
+    out = baseline.means(vectors, baseline.candidate_labels(labels, [(m,) for m in moves]), 11)
+    steps = etl.unflatten(out.select(F.struct("cand_id", "k").alias("traj_id"), F.col("centre").alias("vec")))
+    return steps.select("traj_id.cand_id", "traj_id.k", F.col("t").cast("int").alias("t"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(f"""with recursive {F2}, {_BINS}, v as (select path, round_even(c + {lap(1.0, 'b', "'count|' || path")}, 0)::bigint as c from (select path, count(*) as c from pb group by path)),
+o as (select (row_number() over (order by c desc, path) - 1)::bigint as i, path, c, lead(c) over (order by c desc, path) as nxt, count(*) over () as k from v where c > 0),
+n as (select count(distinct traj_id)::bigint as n from f2),
+st as (select -1::bigint as i, 0::bigint as total, null::varchar as path, 0::bigint as c, 0::bigint as kept, []::bigint[] as draws
+ union all select i, total + coalesce(list_sum(draws[1:kept]), 0)::bigint + c, path, c, kept, draws from (
+  select i, total, path, c, draws, len(list_filter(range(1, len(draws) + 1), lambda j: total + list_sum(draws[1:j]) <= n))::bigint as kept from (
+   select o.i, st.total, o.path, o.c, n.n, list_transform(range(least(round_even((216 - o.k) * 0.5::double * (exp(-1.0::double * nxt) - exp(-1.0::double * o.c)), 0)::bigint, n.n - st.total)), lambda k: nxt + floor((o.c - nxt) * {uni('b', "'count|' || o.i::varchar || '|' || k::varchar")})::bigint) as draws
+   from st join o on o.i = st.i + 1, n where nxt is not null and st.total < n.n))),
+made as (select i, 0 as kind, unnest(range(kept)) as k, draws from st where i >= 0),
+rows as (select i, 0 as kind, k, concat_ws('-', {", ".join(f"floor(6 * {uni('b', f"'loc|' || i::varchar || '|' || k::varchar || '|{t}'")})::int" for t in range(3))}) as path, draws[k + 1] as c from made union all select i, 1, 0, path, c from st where i >= 0)
+select row_number() over (order by i, kind, k) as pos, path, c from rows""")
+def baseline_emit(spark, d):
+    rows = [(list(r.path), r.c) for r in baseline.noisy_sorted(_binned(spark, d), 1.0, "b").collect()]  # distinct generalised paths
+    n = readers.event_chunks(spark, d).select("traj_id").distinct().count()
+    out = baseline.emit(rows, [6, 6, 6], n, 1.0, "b")
+    return spark.createDataFrame([(k, "-".join(map(str, p)), c) for k, (p, c) in enumerate(out, 1)], "pos long, path string, c long")
+
+
+@query("select row_number() over (order by i, j) as id, ep, 15::int as m, 0::int as tl, tu from (values (0, 1.0::double), (1, 2.0::double)) a(i, ep), (values (0, 3), (1, 7), (2, 15)) b(j, tu)")
+def baseline_param_grid(spark, d):
+    from .harness import BASELINE_COMBINATIONS
+
+    return spark.createDataFrame([tuple(p.values()) for p in BASELINE_COMBINATIONS], "id long, ep double, m int, tl int, tu int")
+
+
 @query()
 def baseline_publish(spark, d):
-    return baseline.publish_baseline(f1(spark, d).select("traj_id", "t", "x", "y"), 10.0, 6)
+    return baseline.publish_baseline(f1(spark, d).select("traj_id", "t", "x", "y"), 10.0, 6, seed="1")
 
 
 # Harness and analysis.
@@ -563,7 +670,7 @@ def experiment_results(spark, d):
 
     pts = f1(spark, d).where("t <= 1").select("traj_id", "t", "x", "y")  # tl to tu, the interval of the run
     p = {"id": 1, "eps": 40.0, "tl": 0, "tu": 1, "n_clusters": None, "do_filter": True, "sample": False, "uniform": False, "c": 10.0, "f_m1": "eps_sensitive", "f_m2": "eps_sensitive"}
-    stats, _, qd = run_once(pts, box_of(pts), p, 1)
+    stats, _, qd = run_once(pts, box_of(pts), p, 1, seed="1")
     return qd.withColumn("n_clusters", F.col("n_clusters").cast("int")).join(stats.select("run", "size_unique", "size_acc", "hausdorff"), "run")
 
 
@@ -584,11 +691,11 @@ def meaningful_counts(spark, d):
     return analysis.meaningful(df, ["run", "t_span", "eps"], below=1500.0)
 
 
-@query(f"with {_DEMO} select idx, 'Prefix' as algo, eps, null::bigint as run from demo union all select idx, 'Hua' as algo, eps, run from demo where run = 1")
+@query(f"with {_DEMO} select idx, 'Prefix' as algo, eps, null::bigint as run from demo union all select idx, 'Clustering' as algo, eps, run from demo where run = 1")
 def variant_union(spark, d):
     r = _demo_results(spark, d)
     old = r.where("run = 1").select("idx", "run", F.col("eps").alias("ep")).withColumnRenamed("ep", "eps")
-    return analysis.remap(analysis.stack({"dpapt": r.select("idx", "eps"), "Hua": old}, "algo"), "algo", {"dpapt": "Prefix"}).select("idx", "algo", "eps", "run")
+    return analysis.remap(analysis.stack({"prefix": r.select("idx", "eps"), "Clustering": old}, "algo"), "algo", {"prefix": "Prefix"}).select("idx", "algo", "eps", "run")
 
 
 @query("select distinct event_type from events where event_type is not null")

@@ -13,7 +13,7 @@ POINTS = "traj_id string, ts timestamp, date date, x double, y double"
 
 
 def taxi_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless logs, one file per vehicle; the file's name and the raw row order break ties later."""
+    """Headerless logs, one file per vehicle; the file's name breaks ties later."""
     df = spark.read.schema(TAXI).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     return df.withColumn("file", F.col("_metadata.file_name"))
 
