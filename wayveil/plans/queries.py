@@ -221,7 +221,7 @@ c2 as (select t, i1, j1, i2, j2, count(*) as c from h2 group by all),
 l2 as (select leaf.*, coalesce(c, 0)::double{noisy(cfg.eps2, "'l2|' || leaf.t::varchar || '|' || leaf.i1::varchar || '|' || leaf.j1::varchar || '|' || leaf.i2::varchar || '|' || leaf.j2::varchar")} as n2 from leaf left join c2 using (t, i1, j1, i2, j2)),
 s2 as (select *, sum(n2) over (partition by t, i1, j1) as total from l2),
 inf as (select *, n2 + (({b2} * m2 * m2 / ({b2} * m2 * m2 + {a2}) * n1 + {a2} / ({b2} * m2 * m2 + {a2}) * total) - total) / m2 as cnt from s2),
-cell as (select *, (row_number() over (partition by t order by i1, j1, i2, j2) - 1)::int as cell_id, lx + (sx / m2) / 2 as cx, ly + (sy / m2) / 2 as cy from inf {thresh}),
+cell as (select *, (row_number() over (partition by t order by i1, j1, i2, j2) - 1)::int as cell_id, (lx + (lx + sx / m2)) / 2 as cx, (ly + (ly + sy / m2)) / 2 as cy from inf {thresh}),
 asg as (select traj_id, h2.t, cell_id as area_id from h2 join cell on h2.t = cell.t and h2.i1 = cell.i1 and h2.j1 = cell.j1 and h2.i2 = cell.i2 and h2.j2 = cell.j2)"""
 
 
@@ -587,10 +587,16 @@ def _moves_sql(phi: int) -> str:
     return f"{_VD}, mv as (select row_number() over (order by loss, traj_id, tgt) - 1 as i, * from (select a.traj_id, a.tgt, a.dist - b.dist as loss from vd a join vd b on a.traj_id = b.traj_id and b.tgt = b.src where a.tgt <> a.src order by loss, a.traj_id, a.tgt limit {phi}))"
 
 
-@query(f"""with {_moves_sql(12)}, sets as (select m.m, string_agg(traj_id::varchar || '>' || tgt::varchar, '+' order by i) as moves, sum(loss) as cost, list(traj_id order by i) as ids from range(1, 4096) m(m) join mv on (m.m >> i::int) & 1 = 1 group by m.m having count(*) = count(distinct traj_id))
+@query(f"""with {_VD}, near as (select traj_id, min(dist) as own, arg_min(tgt, struct_pack(d := dist, k := tgt)) as src from vd group by traj_id),
+mv as (select row_number() over (order by loss, traj_id, tgt) - 1 as i, * from (select traj_id, tgt, dist - own as loss from vd join near using (traj_id) where tgt <> near.src order by loss, traj_id, tgt limit 12)),
+sets as (select m.m, string_agg(traj_id::varchar || '>' || tgt::varchar, '+' order by i) as moves, sum(loss) as cost, list(traj_id order by i) as ids from range(1, 4096) m(m) join mv on (m.m >> i::int) & 1 = 1 group by m.m having count(*) = count(distinct traj_id))
 select row_number() over (order by cost, ids) as rank, moves, round(cost, 4) as cost from sets order by cost, ids limit 12""")
 def baseline_beam(spark, d):
-    moves, *_ = _moves(spark, d, 12)
+    """Sets of moves away from the nearest centres: no move costs less than 0."""
+    _, vectors, _, centres = _label_parts(spark, d)
+    each = vectors.join(F.broadcast(centres)).withColumn("d", baseline.vec_distance("vec", "centre"))  # ten centres
+    nearest = each.groupBy("traj_id").agg(F.min_by("k", F.struct("d", "k")).alias("k"))
+    moves = [baseline.Move(r.traj_id, r.source, r.target, r.loss) for r in baseline.single_moves(vectors, nearest, centres, 12).collect()]
     rows = [(k, "+".join(f"{m.traj_id}>{m.target}" for m in s), sum(m.loss for m in s)) for k, s in enumerate(baseline.beam(moves, 12), 1)]
     return spark.createDataFrame(rows, "rank long, moves string, cost double").withColumn("cost", F.round("cost", 4))
 
