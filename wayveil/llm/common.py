@@ -50,8 +50,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """``df`` (a written table of fixed-width rows: counting it is cheap) marked for broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` (a written table of fixed-width rows: counting it is cheap) marked for broadcast if it is small; one column may have more rows."""
+    return F.broadcast(df) if df.count() * len(df.columns) <= 4 * BROADCAST_ROWS else df
 
 
 def text_hash(text: Column) -> Column:

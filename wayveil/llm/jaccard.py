@@ -117,9 +117,12 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
-def region_members(table: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """t (a shingle), rid, n, i: who meets whom; i is how many of the document's shingles come before t. Only regions of two or more."""
-    every = table.select(F.col("uid").alias("rid"), F.explode("tok").alias("t"))
+def region_members(table: DataFrame, reps: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """t (a shingle), rid, n, i: who meets whom; i is how many of the document's shingles come before t. Only regions of two or more.
+
+    ``others`` (uid): rows whose set a representative stands for; a shingle is common if two representatives have it.
+    """
+    every = table.join(sized(others), "uid", "left_anti").select(F.col("uid").alias("rid"), F.explode("tok").alias("t"))
     often = every.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     shared = every.join(often, "t").join(reps, "rid")
     need = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
@@ -128,8 +131,12 @@ def region_members(table: DataFrame, reps: DataFrame, percent: int) -> DataFrame
     # Shingles no one else has come first; if even those fill the prefix, the document has no partner.
     # Beyond the cut shingles stand in order of their hash, with at least the shared ones before them.
     ranked = ranked.withColumn("i", F.when(low, F.col("low") - F.col("shared_low") + F.col("k") - 1).otherwise(F.col("low") + F.col("k") - 1))
-    prefix = ranked.where((F.col("low") < need) | (low & (F.col("i") < need))).select("t", "rid", "n", "i")
-    return _who_can_meet(_who_can_meet(prefix, percent), percent)  # some have nobody left after the first time
+    prefix = written(ranked.where((F.col("low") < need) | (low & (F.col("i") < need))).select("t", "rid", "n", "i"), "jac-prefix")
+    once = written(_who_can_meet(prefix, percent), "jac-meet")
+    forget(prefix)
+    twice = written(_who_can_meet(once, percent), "jac-members")  # some have nobody left after the first time
+    forget(once)
+    return twice
 
 
 def _who_can_meet(members: DataFrame, percent: int) -> DataFrame:
@@ -150,8 +157,8 @@ def _who_can_meet(members: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rid, s (the shingle set as bytes) of the representatives in ``wanted`` (rid), made anew from their texts."""
-    names = written(reps.select("rid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).join(wanted, "rid", "left_semi"), "jac-names")
+    """rid, s (the shingle set as bytes) of the representatives in ``wanted`` (rid), made anew from their texts; once for a repeated row."""
+    names = written(reps.join(wanted, "rid", "left_semi").select("rid", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "repeated"), "jac-names")
     found = docs.join(sized(names), same_row(docs, names)).select(names["rid"], F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +167,8 @@ def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
             made = pa.array([shingle_set(t.as_py(), memory).tobytes() for t in b.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), made], names=["rid", "s"])
 
-    out = written(found.mapInArrow(run, "rid long, s binary").dropDuplicates(["rid"]), "jac-sets")  # a repeated row comes more than once
+    made = found.mapInArrow(run, "rid long, s binary")
+    out = written(made if names.where("repeated").isEmpty() else made.dropDuplicates(["rid"]), "jac-sets")
     forget(names)
     return out
 
@@ -234,7 +242,7 @@ def _leaf_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         u, v = (rid[order[[x[k] for x in links]]] if links else _EMPTY for k in (0, 1))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return cells.join(sets, "rid").select("cell", "rid", "s").groupBy("cell").applyInArrow(run, "u long, v long")
+    return sets.join(sized(cells), "rid").select("cell", "rid", "s").groupBy("cell").applyInArrow(run, "u long, v long")
 
 
 def _measured(big: DataFrame, sets: DataFrame, turn: int, percent: int, leaf_rows: int, leaf_shingles: int) -> DataFrame:
@@ -302,10 +310,10 @@ def _sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: int = PERCENT, leaf_rows: int = LEAF_ROWS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
+def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, others: DataFrame, percent: int = PERCENT, leaf_rows: int = LEAF_ROWS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
     """node, component over representatives that link with another; empty if none does. ``table`` is read no more when this returns."""
     spark = docs.sparkSession
-    members = written(region_members(table, reps.select("rid", "n", "low"), percent), "jac-members")
+    members = region_members(table, reps.select("rid", "n", "low"), others, percent)
     _sweep(spark)
     first = members.groupBy("t").agg(F.min("rid").alias("cell"))
     work = written(members.join(first, "t").select("cell", "rid", "n").distinct(), "jac-cells")
@@ -329,9 +337,10 @@ def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, percent: in
         leaves.append(written(_blocks(measured.join(sized(cut), "cell", "left_anti"), percent, leaf_rows, leaf_shingles), "jac-pairs"))
         turn += 1
     _sweep(spark)
-    found = _leaf_links(reduce(DataFrame.unionByName, leaves), sets, percent)
+    whole = written(reduce(DataFrame.unionByName, leaves), "jac-leaves")
+    found = _leaf_links(whole, sets, percent)
     linked = written(reduce(DataFrame.unionByName, [found, *links]).distinct(), "jac-links")
-    forget(sets, *leaves, work)
+    forget(sets, whole, *leaves, work)
     return components(linked)
 
 
@@ -340,9 +349,14 @@ def _grouped(docs: DataFrame, percent: int, leaf_rows: int = LEAF_ROWS) -> DataF
     offered = written(offer(docs, percent), "jac-offered")
     table = written(offered.drop("tok"), "jac-rows")
     groups = written(table.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("rid")), "jac-classes")
-    reps = written(table.select(F.col("uid").alias("rid"), "doc_id", "text_hash", "n", "low").join(groups.select("rid"), "rid", "left_semi"), "jac-reps")
-    cells = written(link_classes(docs, offered, reps, percent, leaf_rows), "jac-components")
-    forget(offered, reps)
+    rows = table.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c"))
+    again = written(rows.where("c > 1").select("doc_id", "text_hash", F.lit(True).alias("repeated")), "jac-again")
+    named = table.select(F.col("uid").alias("rid"), "doc_id", "text_hash", "n", "low").join(groups.select("rid"), "rid", "left_semi")
+    twin = again.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "repeated")
+    reps = written(named.join(sized(twin), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")), "left").select("rid", "doc_id", "text_hash", "n", "low", F.coalesce("repeated", F.lit(False)).alias("repeated")), "jac-reps")
+    others = written(table.where("n > 0").select("uid").join(groups.select(F.col("rid").alias("uid")), "uid", "left_anti"), "jac-others")
+    cells = written(link_classes(docs, offered, reps, others, percent, leaf_rows), "jac-components")
+    forget(offered, reps, again, others)
     named = groups.join(cells, groups["rid"] == cells["node"], "left").select("d1", "d2", F.coalesce("component", "rid").alias("cell"))
     out = written(table.join(named, ["d1", "d2"], "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cell")).alias("cell")), "jac-grouped")
     forget(table, groups, cells)
