@@ -14,7 +14,6 @@ With no labels at all every score is 0. Repeated rows are scored each.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
