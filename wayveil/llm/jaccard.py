@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forget, same_row, sized, without, written
+from .common import TEXT_ROWS, forget, same_row, sized, without, written
 from .components import components
 
 SHINGLE = 5
@@ -103,7 +103,7 @@ def offer(docs: DataFrame, percent: int) -> DataFrame:
                 d1.append(int.from_bytes(digest[:8], "big", signed=True))
                 d2.append(int.from_bytes(digest[8:], "big", signed=True))
                 low.append(below)
-                tok.append(s[: max(below, prefix_size(len(s), percent))])
+                tok.append(s[: max(below, prefix_size(len(s), percent))].copy())  # a view would hold the whole set
             at = np.cumsum([0, *map(len, tok)]).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([_EMPTY, *tok])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n, d1, d2, low)), arrays], names=["doc_id", "text_hash", "n", "d1", "d2", "low", "tok"])
@@ -168,7 +168,7 @@ def sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), made], names=["rid", "s"])
 
     made = found.mapInArrow(run, "rid long, s binary")
-    out = written(made if names.where("repeated").isEmpty() else made.dropDuplicates(["rid"]), "jac-sets")
+    out = written(made if names.where("repeated").isEmpty() else made.dropDuplicates(["rid"]), "jac-sets", TEXT_ROWS)
     forget(names)
     return out
 
@@ -346,7 +346,7 @@ def link_classes(docs: DataFrame, table: DataFrame, reps: DataFrame, others: Dat
 
 def _grouped(docs: DataFrame, percent: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """doc_id, text_hash, n_shingles, cell (of linked classes; null without words) for each row of ``docs``."""
-    offered = written(offer(docs, percent), "jac-offered")
+    offered = written(offer(docs, percent), "jac-offered", TEXT_ROWS)
     table = written(offered.drop("tok"), "jac-rows")
     groups = written(table.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("rid")), "jac-classes")
     rows = table.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c"))

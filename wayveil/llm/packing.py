@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import TEXT_ROWS, written
 from .tokens import tokenizer_path, word_tokens
 
 #: Rows that one rank bucket should hold; the number of buckets follows the input.
@@ -45,6 +45,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, closing_id: int) ->
                 rows += [(doc, k, at // 4, (min(at + step, len(ids)) - at) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tok.forget()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -98,7 +99,7 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, closing_id: int = 0) -> DataFrame:
     """Pieces with sequence_id and offset; within a sequence the pieces leave no hole."""
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, path or tokenizer_path(), capacity, closing_id), "pieces")
+    pieces = written(token_pieces(docs, path or tokenizer_path(), capacity, closing_id), "pieces", TEXT_ROWS)
     per_class = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = sweep(per_class, capacity)
     placed = spark.createDataFrame(pa.table(dict(zip(("r_length", "r_lo", "r_hi", "r_seq", "r_offset"), (pa.array(c, pa.int64()) for c in (list(zip(*runs)) or [[]] * 5))))))

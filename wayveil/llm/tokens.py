@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_FILE = "word_bpe_49k.json"
-#: Entries that a worker's chunk memory holds before it starts afresh. It bounds memory, not results.
-MEMORY = 300_000
+#: Entries that either half of a worker's memory holds. It bounds memory, not results.
+MEMORY = 200_000
 #: Characters for which the fast path below provably splits and folds as the library does:
 #: ASCII, Latin-1 letters and common punctuation. A text with any other goes to the library whole.
 _UNUSUAL = re.compile("[^\\t-\\r -~À-ÖØ-öø-ÿŒœ¡«»¿–—‘’“”…]|<\\|")
+_USUAL_ASCII = bytes([*range(9, 14), *range(32, 127)])
 _PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿœ]+")
 
 
@@ -56,17 +57,30 @@ def prove_whole_tokens(path: str) -> dict[str, int]:
     return proven
 
 
+def unusual(text: str) -> bool:
+    """Whether ``_UNUSUAL`` finds anything, asked of the few characters that are not plain ASCII."""
+    if "<|" in text:
+        return True
+    left = text.encode().translate(None, _USUAL_ASCII)
+    return bool(left) and _UNUSUAL.search(left.decode()) is not None
+
+
 class _Memory(dict):
-    """chunk -> value, computed on first sight."""
+    """key -> value, computed on first sight. Of two halves the older goes when the newer is full; what is used moves to the newer."""
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
+        self.old = {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= MEMORY:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -80,26 +94,35 @@ class WordTokens:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.model = self.tok.model
-        self.whole = prove_whole_tokens(path)
-        self.spell = byte_alphabet()
-        self.pre_ids = _Memory(self._merge)
-        self.counts = _Memory(lambda chunk: sum(len(self.pre_ids[p]) for p in _PRE_TOKEN.findall(chunk)))
-        self.packed = _Memory(lambda chunk: b"".join(i.to_bytes(4, "little") for p in _PRE_TOKEN.findall(chunk) for i in self.pre_ids[p]))
-
-    def _merge(self, pre_token: str) -> tuple[int, ...]:
-        spelled = pre_token if pre_token.isascii() else "".join(self.spell[b] for b in pre_token.encode())
-        number = self.whole.get(spelled)
-        return (number,) if number is not None else tuple(t.id for t in self.model.tokenize(spelled))
+        self.number = {i: i.to_bytes(4, "little") for i in self.tok.get_vocab().values()}
+        self.whole = {w: self.number[i] for w, i in prove_whole_tokens(path).items()}
+        self.spell = dict(enumerate(byte_alphabet()))
+        self.packed = _Memory(self._chunk)
+
+    def _merge(self, pre_token: str) -> bytes:
+        spelled = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.spell)
+        known = self.whole.get(spelled)
+        return known if known is not None else b"".join([self.number[t.id] for t in self.model.tokenize(spelled)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # of the usual characters all letters go together
+            return self._merge(chunk)
+        if chunk[:-1].isalpha():  # a word, which may be known, and a character that is no letter
+            return self.packed[chunk[:-1]] + self._merge(chunk[-1])
+        return b"".join([self._merge(p) for p in _PRE_TOKEN.findall(chunk)])
+
+    def forget(self) -> None:
+        """Drop what was remembered: an idle worker holds the vocabulary alone."""
+        self.packed = _Memory(self._chunk)
+        pa.default_memory_pool().release_unused()
 
     def count(self, text: str) -> int:
-        if _UNUSUAL.search(text):
-            return len(self.tok.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.counts.__getitem__, text.lower().split()))
+        return len(self.pack(text)) // 4
 
     def pack(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if _UNUSUAL.search(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
+        if unusual(text):
+            return b"".join([i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids])
         return b"".join(map(self.packed.__getitem__, text.lower().split()))
 
 
@@ -118,6 +141,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str | Column
         for b in batches:
             sizes = [counter.count(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        counter.forget()
 
     id_col, text_col = (F.col(c) if isinstance(c, str) else c for c in (id_col, text_col))
     narrow = docs.select(id_col.cast("long").alias("doc_id"), text_col.alias("text"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"))
