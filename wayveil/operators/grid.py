@@ -55,6 +55,7 @@ class GridConfig:
     seed: str = "s"
     leaf_divisor: str = "m2"  # or "m2sq": then leaves add up to the inferred root
     n_clusters: int | None = None
+    lloyd_steps: int = 300  # at most; fewer if clusters are stable before
 
     @property
     def eps_n(self) -> float:
