@@ -117,14 +117,23 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
+def _common(every: DataFrame) -> DataFrame:
+    """t, rid, df: the rows of ``every`` (rid, t) whose t has two or more, and how many.
+
+    Counting and joining read one exchange. Were ``rid`` not used in counting, it would be pruned there and all rows be shuffled twice.
+    """
+    dealt = every.where("rid is not null and t is not null").repartition("t")
+    often = dealt.groupBy("t").agg(F.count("rid").alias("df"), F.min("rid").alias("one")).where("df >= 2 and one is not null").select("t", "df")
+    return dealt.join(often, "t")
+
+
 def region_members(table: DataFrame, reps: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     """t (a shingle), rid, n, i: who meets whom; i is how many of the document's shingles come before t. Only regions of two or more.
 
     ``others`` (uid): rows whose set a representative stands for; a shingle is common if two representatives have it.
     """
     every = table.join(sized(others), "uid", "left_anti").select(F.col("uid").alias("rid"), F.explode("tok").alias("t"))
-    often = every.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    shared = every.join(often, "t").join(reps, "rid")
+    shared = _common(every).join(reps, "rid")
     need = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     low = F.col("t") < CUT
     ranked = shared.withColumn("shared_low", F.count_if(low).over(Window.partitionBy("rid"))).withColumn("k", F.row_number().over(Window.partitionBy("rid", low).orderBy(F.when(low, F.col("df")).otherwise(F.lit(0)), "t")))
